@@ -1,0 +1,6 @@
+"""Intentionally empty: every job in scope is a batch job.
+
+The order mart, the model selection run, the bulk scoring run and the
+attribution run all read complete tables. No watermark, window or stateful
+operator is part of the feature set, so none is offered here.
+"""
