@@ -13,6 +13,10 @@ from lagline.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, ORDER_STATUS
 from lagline.sources.adapter import PROMISE_BY_PRIORITY, WIDE_EDGES, WIDE_LABELS
 
 
+# Added after rounding: Spark rounds a tiny negative number to 0.0, not to -0.0.
+_ZERO = "0.0::DOUBLE"
+
+
 def _hash(key: str, salt: str = "") -> str:
     text = f"'{salt}:' || CAST({key} AS VARCHAR)" if salt else f"CAST({key} AS VARCHAR)"
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT)"
@@ -471,8 +475,8 @@ _add(
 _add(
     "profile_correlation",
     " UNION ALL ".join(
-        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS correlation "
-        "FROM model_input"
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) + {_ZERO} "
+        "AS correlation FROM model_input"
         for a, b in combinations(NUMERIC_FEATURES, 2)
     ),
 )
@@ -604,7 +608,7 @@ _add(
     "standard_scale",
     "SELECT order_id, "
     + ", ".join(
-        f"round(({n} - avg({n}) OVER ()) / stddev_samp({n}) OVER (), 6) AS scaled_{n}"
+        f"round(({n} - avg({n}) OVER ()) / stddev_samp({n}) OVER (), 6) + {_ZERO} AS scaled_{n}"
         for n in NUMERIC_FEATURES
     )
     + " FROM model_input",
@@ -661,7 +665,7 @@ _add(
 )
 _add(
     "shap_beeswarm_table",
-    """SELECT feature, order_id, value, round(contribution, 6) AS contribution, position,
+    f"""SELECT feature, order_id, value, round(contribution, 6) + {_ZERO} AS contribution, position,
       round((value - low) / (high - low), 6) AS scaled_value
     FROM linear JOIN positions USING (feature)
     JOIN (SELECT feature, min(value) AS low, max(value) AS high FROM linear GROUP BY 1)
