@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from lagline.operators.ordered import exact_quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+# Types whose values stay apart when read as doubles.
+EXACT_AS_DOUBLE = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
 
 
 def numeric_columns(data: DataFrame) -> list[str]:
@@ -42,7 +44,7 @@ def describe(data: DataFrame, column: str, approximate: bool = False) -> DataFra
         return parts.withColumns(
             {name: F.col("sketch")[i] for i, name in enumerate(QUARTILES)}
         ).select(*order)
-    quartiles = exact_quantiles(data, [column], QUARTILES).select(F.struct(*QUARTILES))
+    quartiles = exact_quantiles(data, [column], QUARTILES).select(F.struct(*QUARTILES.keys()))
     return (
         data.agg(*summary)
         .withColumn("quartiles", quartiles.scalar())
@@ -54,10 +56,17 @@ def profile_columns(data: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: count, nulls, distinct, range, and moments for numbers.
 
     One aggregation over all columns, turned to long form afterwards. Exact
-    distinct counts make Spark read every row once per column; ``approximate``
-    uses sketches for them and for the quartiles.
+    quartiles count every distinct number anyway, so numeric columns take their
+    distinct count from there; only the others need a distinct aggregate, for
+    which Spark repeats each row once per such column. ``approximate`` uses
+    sketches for both.
     """
     numeric = numeric_columns(data)
+    counted = [
+        name
+        for name in numeric
+        if not approximate and isinstance(data.schema[name].dataType, EXACT_AS_DOUBLE)
+    ]
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     aggregates = []
     for i, name in enumerate(data.columns):
@@ -65,7 +74,9 @@ def profile_columns(data: DataFrame, approximate: bool = False) -> DataFrame:
         aggregates += [
             F.count(column).alias(f"{i}_count"),
             F.coalesce(F.sum(column.isNull().cast("bigint")), F.lit(0)).alias(f"{i}_nulls"),
-            distinct(column).alias(f"{i}_distinct"),
+            (F.lit(None).cast("bigint") if name in counted else distinct(column)).alias(
+                f"{i}_distinct"
+            ),
         ]
         if name in numeric:
             number = column.cast("double")
@@ -114,7 +125,14 @@ def profile_columns(data: DataFrame, approximate: bool = False) -> DataFrame:
         return long.withColumns({name: F.lit(None).cast("double") for name in QUARTILES})
     # One row per numeric column on the right, so the broadcast is bounded by the schema.
     quartiles = exact_quantiles(data, numeric, QUARTILES).withColumnRenamed("column", "column_name")
-    return long.join(F.broadcast(quartiles), "column_name", "left")
+    from_values = F.when(
+        F.col("column_name").isin(counted), F.coalesce(F.col("values"), F.lit(0))
+    ).otherwise(F.col("distinct_count"))
+    return (
+        long.join(F.broadcast(quartiles), "column_name", "left")
+        .withColumn("distinct_count", from_values)
+        .drop("values")
+    )
 
 
 def top_values(data: DataFrame, columns: list[str], k: int = 10) -> DataFrame:

@@ -66,6 +66,10 @@ ORDER_RULES = TableRule(
 )
 
 
+def _raw(name: str) -> str:
+    return f"__raw_{name}"
+
+
 def _present(data: DataFrame, rules: TableRule) -> list[ColumnRule]:
     return [rule for rule in rules.columns if rule.name in data.columns]
 
@@ -94,11 +98,11 @@ def column_failures(data: DataFrame, rules: TableRule) -> DataFrame:
 def _row_cases(data: DataFrame, rules: TableRule, checks: set[str] | None) -> list[tuple]:
     """(check, column, failing condition, reported value) for every one-row check.
 
-    Columns named ``raw.*`` are values as read, bare names are coerced values.
+    Values as read carry the prefix of ``_raw``, bare names are coerced values.
     """
     cases = []
     for rule in _present(data, rules):
-        raw, value = F.col(f"raw.{rule.name}"), F.col(rule.name)
+        raw, value = F.col(_raw(rule.name)), F.col(rule.name)
         if not rule.nullable:
             cases.append(("not_null", rule.name, raw.isNull(), raw))
         if dict(data.dtypes)[rule.name] != rule.type:
@@ -114,7 +118,8 @@ def _row_cases(data: DataFrame, rules: TableRule, checks: set[str] | None) -> li
 
 
 def _with_raw(data: DataFrame, rules: TableRule) -> DataFrame:
-    return coerced(data.withColumn("raw", F.struct(*data.columns)), rules)
+    """Coerced columns next to the values as read."""
+    return coerced(data.withColumns({_raw(name): F.col(name) for name in data.columns}), rules)
 
 
 def row_failures(data: DataFrame, rules: TableRule, checks: set[str] | None = None) -> DataFrame:
@@ -125,7 +130,7 @@ def row_failures(data: DataFrame, rules: TableRule, checks: set[str] | None = No
             F.struct(
                 F.lit(check).alias("check"),
                 F.lit(column).cast("string").alias("column"),
-                F.col(f"raw.{rules.key}").cast("string").alias("key"),
+                F.col(_raw(rules.key)).cast("string").alias("key"),
                 value.cast("string").alias("value"),
             ),
         )

@@ -541,7 +541,7 @@ def dq_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mart_ops.model_input(_mart(spark, sf_dir)).select(*PROFILED)
+    return _silver(spark, sf_dir).select(*PROFILED)
 
 
 @query
@@ -760,6 +760,19 @@ def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.cross_validation_results(train, max_iter=CATALOG_ITERATIONS)
 
 
+@query
+def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fold's model scored each training row, and how often: once each."""
+    train, _ = _split(spark, sf_dir)
+    folded = sampling.assign_folds(train)
+    scored = selection.out_of_fold(folded, MODEL, max_iter=CATALOG_ITERATIONS)
+    return (
+        scored.join(folded.select("order_id", "fold"), "order_id")
+        .groupBy("order_id", TARGET, "fold")
+        .agg(F.count("probability_positive").alias("times_scored"))
+    )
+
+
 @query
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion_metrics(_scored(spark, sf_dir), 0.16)
@@ -804,6 +817,17 @@ def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_orders(spark, _store(spark, sf_dir), silver, scratch_path(spark, "gold"))
 
 
+@query
+def score_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each scored order's label follows from its probability and the threshold."""
+    _, threshold = models.load_metadata(spark, _store(spark, sf_dir))
+    score = F.col("probability_positive")
+    agrees = (score >= F.lit(threshold)).cast("int") == F.col("prediction")
+    return score_orders(spark, sf_dir).select(
+        "order_id", TARGET, (score.between(0.0, 1.0) & agrees).alias("consistent")
+    )
+
+
 # Attribution
 
 
@@ -815,7 +839,8 @@ def shap_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     path = models.model_path(_store(spark, sf_dir))
-    return attribution.shap_values(spark, path, _silver(spark, sf_dir))
+    tasks = spark.sparkContext.defaultParallelism
+    return attribution.shap_values(spark, path, _silver(spark, sf_dir), tasks=tasks)
 
 
 @query

@@ -622,6 +622,12 @@ _add(
     _curve("curve", "probability_positive"),
 )
 _add("threshold_curve", "SELECT * FROM curve", _curve("curve", "probability_positive"))
+_add(
+    "out_of_fold",
+    """SELECT order_id, is_late, fold, CAST(1 AS BIGINT) AS times_scored FROM split
+    WHERE in_train""",
+)
+_add("score_consistency", "SELECT order_id, is_late, true AS consistent FROM features")
 _add(
     "confusion_metrics",
     """SELECT tp, fp, fn, precision, recall, f1 FROM curve
