@@ -9,7 +9,6 @@ that happens to equal a train row; see ``lagline.operators.sets``.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,23 +66,32 @@ def fold_parts(data: DataFrame, fold: int, column: str = "fold") -> tuple[DataFr
     )
 
 
-def class_quotas(counts: dict, size: int | None, fraction: float | None) -> dict:
+def class_quotas(classes: DataFrame, size: int | None, fraction: float | None) -> DataFrame:
     """Rows to draw per class so that they add up to the size: largest remainder.
 
-    Takes class counts, not rows. Equal remainders go to the smaller label.
+    ``classes`` has one row per class, ``cut_class`` and its count ``n``; adds
+    ``quota`` and the number of ``classes``. Equal remainders go to the smaller
+    label. Products are decimals: the size times a count can pass 64 bits.
     """
-    total = sum(counts.values())
-    if size is None:
-        size = math.ceil(total * fraction)
-    if size >= total:
-        return dict(counts)
-    quotas = {label: size * count // total for label, count in counts.items()}
-    present = sorted(label for label in counts if label is not None)
-    ordered = ([None] if None in counts else []) + present
-    by_remainder = sorted(ordered, key=lambda label: -(size * counts[label] % total))
-    for label in by_remainder[: size - sum(quotas.values())]:
-        quotas[label] += 1
-    return quotas
+    everything = Window.partitionBy(F.lit(1))
+    total = F.sum("n").over(everything)
+    wanted = F.ceil(total * F.lit(fraction)) if size is None else F.lit(size).cast("bigint")
+    sized = classes.select(
+        "cut_class",
+        "n",
+        total.alias("total"),
+        F.least(wanted, total).alias("size"),
+        F.count(F.lit(1)).over(everything).alias("classes"),
+    ).withColumn("product", F.col("size").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
+    shares = sized.withColumn("whole", F.expr("product div total")).withColumn(
+        "remainder", F.expr("product % total")
+    )
+    by_remainder = Window.partitionBy(F.lit(1)).orderBy(
+        F.desc("remainder"), F.asc_nulls_first("cut_class")
+    )
+    left_over = F.col("size") - F.sum("whole").over(everything)
+    extra = (F.row_number().over(by_remainder) <= left_over).cast("int")
+    return shares.select("cut_class", "n", (F.col("whole") + extra).alias("quota"), "classes")
 
 
 @dataclass(frozen=True)
@@ -117,7 +125,7 @@ def sample_cut(
     fraction: float | None = None,
     label: str | None = TARGET,
     key: str = ORDER_KEY,
-    seed: int = 42,
+    seed: int | str = 42,
     bits: int = 16,
 ) -> SampleCut:
     """Find where an exact sample of the given size ends, class by class.
@@ -141,28 +149,21 @@ def sample_cut(
     slots = rows.groupBy("cut_class", "slot").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("cut_class").orderBy("slot")
     filled = slots.withColumn("upto", F.sum("n").over(running))
-
-    found = (
-        slots.groupBy("cut_class").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
-    )
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values, so it is not a class")
-    quotas = class_quotas({row["cut_class"]: row["n"] for row in found}, size, fraction)
-    class_type = rows.schema["cut_class"].dataType.simpleString()
-    spark = data.sparkSession
-    wanted = spark.createDataFrame(
-        [(value, int(quota)) for value, quota in quotas.items() if quota > 0],
-        f"cut_class {class_type}, quota bigint",
-    )
-    same_class = F.col("f.cut_class").eqNullSafe(F.col("w.cut_class"))
+    totals = slots.groupBy("cut_class").agg(F.sum("n").alias("n"))
+    # The limit bounds what is broadcast; a label that needs it is refused below.
+    wanted = class_quotas(totals, size, fraction).filter(F.col("quota") > 0).limit(MAX_CLASSES)
     reached = (
         filled.alias("f")
-        .join(F.broadcast(wanted).alias("w"), same_class)
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
+        .join(
+            F.broadcast(wanted).alias("w"), F.col("f.cut_class").eqNullSafe(F.col("w.cut_class"))
+        )
+        .filter(F.col("upto") >= F.col("quota"))
+        .filter(F.col("upto") - F.col("f.n") < F.col("quota"))
         .select(
             F.col("f.cut_class").alias("reached_class"),
             F.col("slot").alias("reached_slot"),
-            (F.col("quota") - (F.col("upto") - F.col("n"))).alias("missing"),
+            (F.col("quota") - (F.col("upto") - F.col("f.n"))).alias("missing"),
+            "classes",
         )
     )
     ranking = Window.partitionBy("cut_class").orderBy("cut_hash", "cut_key")
@@ -174,9 +175,12 @@ def sample_cut(
         )
         .withColumn("position", F.row_number().over(ranking))
         .filter(F.col("position") == F.col("missing"))
-        .select("cut_class", "cut_hash", "cut_key")
+        .select("cut_class", "cut_hash", "cut_key", "classes")
     )
-    cuts = spark.createDataFrame(last.collect(), last.schema)
+    found = last.collect()
+    if found and found[0]["classes"] > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values, so it is not a class")
+    cuts = data.sparkSession.createDataFrame(found, last.schema).drop("classes")
     return SampleCut(cuts, key, label, salt)
 
 
@@ -186,7 +190,7 @@ def stratified_parts(
     fraction: float | None = None,
     label: str | None = TARGET,
     key: str = ORDER_KEY,
-    seed: int = 42,
+    seed: int | str = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """(sample of exactly the wanted size keeping class shares, all other rows)."""
     marked = sample_cut(data, size, fraction, label, key, seed).mark(data)

@@ -115,6 +115,16 @@ def _part(data: DataFrame, name: str) -> DataFrame:
     return data.withColumn("part", F.lit(name))
 
 
+_SHARED: dict[tuple[str, str, str], object] = {}
+
+
+def _shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
 # Sources and sinks
 
 
@@ -479,8 +489,19 @@ def abs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Data quality and profile
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The untyped feed as a stored table: checks read columns, not derivations."""
+
+    def build() -> str:
+        path = scratch_path(spark, "raw-orders")
+        files.save_dataset(adapter.raw_orders(spark, sf_dir), path)
+        return path
+
+    return files.read_table(spark, _shared(spark, sf_dir, "raw", build))
+
+
 def _row_check(spark: SparkSession, sf_dir: str, check: str) -> DataFrame:
-    return quality.row_failures(adapter.raw_orders(spark, sf_dir), DIRTY_RULES, {check})
+    return quality.row_failures(_raw(spark, sf_dir), DIRTY_RULES, {check})
 
 
 @query
@@ -490,7 +511,7 @@ def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.unique_failures(adapter.raw_orders(spark, sf_dir), DIRTY_RULES)
+    return quality.unique_failures(_raw(spark, sf_dir), DIRTY_RULES)
 
 
 @query
@@ -515,7 +536,7 @@ def dq_row_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_strict_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = adapter.raw_orders(spark, sf_dir).withColumn("channel", F.lit("web"))
+    data = _raw(spark, sf_dir).withColumn("channel", F.lit("web"))
     rows = data.agg(F.count(F.lit(1)).alias("n"))
     return quality.column_failures(data, quality.ORDER_RULES).select(
         "check", "column", rows.scalar().alias("affected_rows")
@@ -524,7 +545,7 @@ def dq_strict_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.failures(adapter.raw_orders(spark, sf_dir), DIRTY_RULES)
+    return quality.failures(_raw(spark, sf_dir), DIRTY_RULES)
 
 
 @query
@@ -537,7 +558,7 @@ def dq_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         key="order_id",
         row_rules=DIRTY_RULES.row_rules,
     )
-    return quality.validate(adapter.raw_orders(spark, sf_dir), rules)[0]
+    return quality.validate(_raw(spark, sf_dir), rules)[0]
 
 
 def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -601,15 +622,6 @@ def disjointness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Encoding and models
 
-_SHARED: dict[tuple[str, str, str], object] = {}
-
-
-def _shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _SHARED:
-        _SHARED[key] = build()
-    return _SHARED[key]
-
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model input as a written table, which every fitted-model query reads."""

@@ -60,11 +60,21 @@ def test_folds_cover_all_rows_and_differ_from_the_split(labelled):
     assert rows(sampling.assign_folds(labelled.repartition(7)), "order_id") == rows(folded, "order_id")
 
 
-def test_quotas_use_largest_remainders():
-    assert sampling.class_quotas({0: 7, 1: 13}, 9, None) == {0: 3, 1: 6}
-    assert sampling.class_quotas({0: 1, 1: 1, 2: 1}, 2, None) == {0: 1, 1: 1, 2: 0}
-    assert sampling.class_quotas({0: 5, None: 5}, None, 0.2) == {0: 1, None: 1}
-    assert sampling.class_quotas({"a": 2}, 5, None) == {"a": 2}
+@pytest.mark.parametrize(
+    "counts, size, fraction, expected",
+    [
+        ({"0": 7, "1": 13}, 9, None, {"0": 3, "1": 6}),
+        ({"0": 1, "1": 1, "2": 1}, 2, None, {"0": 1, "1": 1, "2": 0}),
+        ({"0": 5, None: 5}, None, 0.15, {None: 1, "0": 1}),
+        ({"0": 5, None: 5}, 3, None, {None: 2, "0": 1}),
+        ({"0": 2}, 5, None, {"0": 2}),
+        ({"0": 3 * 10**17, "1": 10**17}, 10**17, None, {"0": 75 * 10**15, "1": 25 * 10**15}),
+    ],
+)
+def test_quotas_use_largest_remainders(spark, counts, size, fraction, expected):
+    classes = spark.createDataFrame(list(counts.items()), "cut_class string, n bigint")
+    found = sampling.class_quotas(classes, size, fraction)
+    assert {r["cut_class"]: r["quota"] for r in found.collect()} == expected
 
 
 @pytest.mark.parametrize("bits", [1, 4, 16])
