@@ -31,11 +31,3 @@ def right_closed_bin(
     for high, label in zip(edges[1:], labels):
         chain = chain.when(column <= F.lit(high), F.lit(label))
     return chain
-
-
-def bin_position(
-    value: Column | str, edges: Sequence[float]
-) -> Column:
-    """Index of the interval, for sorting bins in their natural order."""
-    positions = [str(i) for i in range(len(edges) - 1)]
-    return right_closed_bin(value, edges, positions).cast("int")

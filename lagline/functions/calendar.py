@@ -17,11 +17,12 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
 
     Both sides become TIMESTAMP_NTZ and are subtracted as such. ``timestampdiff``
     would go through the session zone and lose or gain an hour at a
-    daylight-saving change.
+    daylight-saving change. An 18-digit decimal is a long underneath; the double
+    it becomes holds every microsecond count below 2^53, some 285 years.
     """
     gap = _column(end).cast("timestamp_ntz") - _column(start).cast("timestamp_ntz")
-    seconds = gap.cast("interval second").cast("decimal(20,6)")
-    return (seconds * F.lit(1_000_000)).cast("bigint")
+    seconds = gap.cast("interval second").cast("decimal(18,6)").cast("double")
+    return F.rint(seconds * F.lit(1e6)).cast("bigint")
 
 
 def days_between(start: Column | str, end: Column | str) -> Column:

@@ -17,13 +17,13 @@ def rate_by(data: DataFrame, key: str, order_key: str = ORDER_KEY) -> DataFrame:
     Both aggregates combine in the map tasks, so a key holding a third of all
     rows sends one partial row per task.
     """
-    return (
-        data.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(
-            F.avg(TARGET).alias("delay_rate"),
-            F.count(order_key).alias("order_count"),
-        )
+    return _rates(data.filter(F.col(key).isNotNull()), key, order_key)
+
+
+def _rates(data: DataFrame, key: str, order_key: str = ORDER_KEY) -> DataFrame:
+    return data.groupBy(key).agg(
+        F.avg(TARGET).alias("delay_rate"),
+        F.count(order_key).alias("order_count"),
     )
 
 
@@ -42,9 +42,15 @@ def delay_by_promised_range(
     edges: Sequence[float] = PROMISE_EDGES,
     labels: Sequence[str] = PROMISE_LABELS,
 ) -> DataFrame:
-    """Rates per promise length; promises outside the bins are left out."""
-    name = "promised_days_range"
-    return rate_by(data.withColumn(name, right_closed_bin("promised_days", edges, labels)), name)
+    """Rates per promise length; promises outside the bins are left out.
+
+    The promise is compared with the outer edges, so that what is pushed down is
+    one plain comparison and not the whole chain of bins.
+    """
+    days = F.col("promised_days")
+    inside = data.filter((days > F.lit(edges[0])) & (days <= F.lit(edges[-1])))
+    label = right_closed_bin(days, edges, labels)
+    return _rates(inside.withColumn("promised_days_range", label), "promised_days_range")
 
 
 def delay_by_items(data: DataFrame) -> DataFrame:

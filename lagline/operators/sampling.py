@@ -149,9 +149,9 @@ def sample_cut(
     slots = rows.groupBy("cut_class", "slot").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("cut_class").orderBy("slot")
     filled = slots.withColumn("upto", F.sum("n").over(running))
-    totals = slots.groupBy("cut_class").agg(F.sum("n").alias("n"))
-    # The limit bounds what is broadcast; a label that needs it is refused below.
-    wanted = class_quotas(totals, size, fraction).filter(F.col("quota") > 0).limit(MAX_CLASSES)
+    # One more than allowed is enough to notice, and bounds all that follows.
+    totals = slots.groupBy("cut_class").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1)
+    wanted = class_quotas(totals, size, fraction).filter(F.col("quota") > 0)
     reached = (
         filled.alias("f")
         .join(

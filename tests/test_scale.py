@@ -134,7 +134,8 @@ def test_the_main_pass_of_a_sample_does_not_shuffle(hot):
 
 
 def test_rollup_partitioning_serves_the_join(spark, hot):
-    items = hot.select(
+    stored = hot.repartition(3)
+    items = stored.select(
         "order_id",
         F.col("order_id").alias("order_item_id"),
         F.col("customer_id").alias("seller_id"),
@@ -142,6 +143,7 @@ def test_rollup_partitioning_serves_the_join(spark, hot):
         F.lit(1).cast("decimal(12,2)").alias("freight_value"),
     )
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        plan = ops.join_items(hot, ops.aggregate_items(items))._jdf.queryExecution().executedPlan().toString()
+        plan = ops.join_items(stored, ops.aggregate_items(items))
+        plan = plan._jdf.queryExecution().executedPlan().toString()
     # One exchange for the orders, two for the distinct count, none for the join itself.
     assert plan.count("Exchange hashpartitioning") == 3
