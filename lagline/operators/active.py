@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from lagline.functions.scores import distance_from
 from lagline.operators.candidates import logistic_candidate
-from lagline.operators.metrics import accuracy
-from lagline.operators.sampling import TOP_K_LIMIT, stratified_parts
+from lagline.operators.sampling import TOP_K_LIMIT, sample_cut, stratified_parts
 from lagline.operators.selection import with_probability
 from lagline.operators.sets import union_all, without_keys
 from lagline.schemas import ORDER_KEY, SCORE, TARGET
@@ -40,11 +39,13 @@ def partition(
 ) -> Pools:
     """A fixed test set, a small labelled set with every class, and the pool."""
     test, available = stratified_parts(data, fraction=test_fraction, label=label, key=key, seed=seed)
-    labelled, pool = stratified_parts(
+    cut = sample_cut(
         available, size=initial_size, label=label, key=key, seed=f"labelled:{seed}"
     )
-    if labelled.select(label).distinct().count() < 2:
+    # A row per class that got a share, so no pass over the data.
+    if cut.cuts.count() < 2:
         raise ValueError("the labelled set must contain at least two classes")
+    labelled, pool = cut.parts(available)
     return Pools(labelled, pool, test)
 
 
@@ -81,6 +82,7 @@ def move_queried(
 
 
 def fit_labelled(labelled: DataFrame, columns: list[str], label: str = TARGET) -> PipelineModel:
+    """Scale and fit on the labelled rows only."""
     return logistic_candidate(columns, labelled.count(), label).fit(labelled)
 
 
@@ -110,21 +112,36 @@ def run_round(
     """
     spark = data.sparkSession
     start = partition(data, initial_size=initial_size, label=label, key=key, seed=seed)
-    first = fit_labelled(start.labelled, columns, label)
-    chosen = most_uncertain(with_probability(first, start.pool), query_size, key=key)
-    chosen = chosen.select(key, SCORE)
-    # At most query_size rows; pinned so that both sides of the move see the same.
-    queried = spark.createDataFrame(chosen.collect(), chosen.schema)
-    labels = start.pool.select(key, label)
-    labelled, pool = move_queried(start.labelled, start.pool, queried, labels, key, label)
-    end = Pools(labelled, pool, start.test)
-    second = fit_labelled(end.labelled, columns, label)
-
-    def line(stage: str, model: PipelineModel, pools: Pools) -> tuple:
-        share = accuracy(model.transform(pools.test), label).first()["accuracy"]
-        return stage, pools.labelled.count(), pools.pool.count(), pools.test.count(), share
-
-    report = spark.createDataFrame(
-        [line("before", first, start), line("after", second, end)], REPORT_SCHEMA
-    )
+    # A handful of rows picked out of a large table; fitting reads them many times.
+    small = start.labelled.persist()
+    try:
+        first = fit_labelled(small, columns, label)
+        chosen = most_uncertain(with_probability(first, start.pool), query_size, key=key)
+        chosen = chosen.select(key, SCORE)
+        # At most query_size rows; pinned so that both sides of the move see the same.
+        queried = spark.createDataFrame(chosen.collect(), chosen.schema)
+        labels = start.pool.select(key, label)
+        labelled, pool = move_queried(small, start.pool, queried, labels, key, label)
+        end = Pools(labelled, pool, start.test)
+        larger = labelled.persist()
+        try:
+            second = fit_labelled(larger, columns, label)
+            report = spark.createDataFrame(
+                [
+                    _report_line("before", first, start, label),
+                    _report_line("after", second, end, label),
+                ],
+                REPORT_SCHEMA,
+            )
+        finally:
+            larger.unpersist()
+    finally:
+        small.unpersist()
     return Round(start, end, queried, report)
+
+
+def _report_line(stage: str, model: PipelineModel, pools: Pools, label: str) -> tuple:
+    """Sizes and accuracy; the test rows are counted in the pass that scores them."""
+    correct = F.avg((F.col(label) == F.col("prediction")).cast("int"))
+    tested = model.transform(pools.test).agg(F.count(F.lit(1)), correct).first()
+    return stage, pools.labelled.count(), pools.pool.count(), tested[0], tested[1]

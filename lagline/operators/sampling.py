@@ -103,6 +103,14 @@ class SampleCut:
     label: str | None
     salt: str
 
+    def parts(self, data: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows inside the sample, all other rows)."""
+        marked = self.mark(data)
+        return (
+            marked.filter("selected").drop("selected"),
+            marked.filter("NOT selected").drop("selected"),
+        )
+
     def mark(self, data: DataFrame, column: str = "selected") -> DataFrame:
         """Rows with a flag: inside the sample or not. One map-side join."""
         label = F.col(self.label) if self.label else F.lit(0)
@@ -193,11 +201,7 @@ def stratified_parts(
     seed: int | str = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """(sample of exactly the wanted size keeping class shares, all other rows)."""
-    marked = sample_cut(data, size, fraction, label, key, seed).mark(data)
-    return (
-        marked.filter("selected").drop("selected"),
-        marked.filter("NOT selected").drop("selected"),
-    )
+    return sample_cut(data, size, fraction, label, key, seed).parts(data)
 
 
 def exact_stratified_sample(

@@ -123,3 +123,9 @@ def test_queried_rows_move_from_pool_to_labelled(spark):
     after, rest = active.move_queried(labelled, pool, queried, pool)
     assert rows(after, "order_id") == [(1, 0), (2, 1), (4, 1)]
     assert rows(rest, "order_id") == [(3, 0), (5, 0)]
+
+
+def test_a_labelled_set_with_one_class_is_refused(spark):
+    data = spark.range(100).selectExpr("id AS order_id", "0 AS is_late")
+    with pytest.raises(ValueError, match="two classes"):
+        active.partition(data)
