@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagline.llm import quality_rules, sharding, url_filters
+from lagline.llm import mixing, quality_rules, queries, sharding, url_filters
 
 
 def _quoted(text: str) -> str:
@@ -108,6 +108,125 @@ SELECT doc_id, (strlen(t) + 1)::BIGINT AS size, text_crc32, 'rows' AS law, s::IN
 FROM cut JOIN sums USING (t)
 """
 
+_LISTED = ", ".join(
+    f"({_quoted('/'.join(path))}, {weight})" for path, weight in queries.MIXTURE.items()
+)
+_DOMAIN = f"""CASE WHEN n < {queries.WEB_SOURCES} THEN 'web' WHEN n < {queries.BOOK_SOURCES} THEN 'books'
+    WHEN n < {queries.CODE_SOURCES} THEN 'code' ELSE 'forums' END"""
+
+
+def _shared(level: int) -> str:
+    """Budgets of one level of the tree from those of the level above."""
+    keys = ["domain", "lang", "source"][:level]
+    parents = ", ".join(keys[:-1])
+    by = f"PARTITION BY {parents}" if parents else ""
+    above = f"budgets{level - 1}"
+    on = f"JOIN {above} p USING ({parents})" if parents else f"CROSS JOIN {above} p"
+    order = f"ORDER BY capacity / weight, {keys[-1]}"
+    return f"""
+nodes{level} AS (
+    SELECT {", ".join(keys)}, sum(capacity)::DOUBLE AS capacity,
+           coalesce((SELECT w FROM listed WHERE path = concat_ws('/', {", ".join(keys)})), 1) AS weight
+    FROM leaves GROUP BY {", ".join(keys)}
+),
+ordered{level} AS (
+    SELECT n.*, p.budget AS above,
+           coalesce(sum(capacity) OVER ({by} {order}
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+           sum(weight) OVER ({by} {order}
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+    FROM nodes{level} n {on}
+),
+flagged{level} AS (
+    SELECT *, capacity * weights <= weight * (above - taken) AS is_full FROM ordered{level}
+),
+budgets{level} AS (
+    SELECT {", ".join(keys)}, round(CASE WHEN is_full THEN capacity ELSE weight * (above
+               - coalesce(sum(capacity) FILTER (is_full) OVER ({by}), 0))
+               / sum(weight) FILTER (NOT is_full) OVER ({by}) END, 3) AS budget
+    FROM flagged{level}
+)"""
+
+
+_OP7 = rf"""
+WITH listed(path, w) AS (VALUES {_LISTED}),
+numbered AS (
+    SELECT doc_id, lang, source, try_cast(regexp_extract(source, '^src([0-9]+)$', 1) AS INTEGER) AS n,
+           len({_WORDS.format("coalesce(text, '')")}) AS tokens
+    FROM documents
+),
+d AS (SELECT *, {_DOMAIN} AS domain FROM numbered),
+leaves AS (
+    SELECT domain, lang, source, sum(tokens) AS supply, sum(tokens) * {mixing.MAX_EPOCHS} AS capacity
+    FROM d GROUP BY ALL
+),
+budgets0 AS (SELECT least(sum(supply), sum(capacity))::DOUBLE AS budget FROM leaves),
+{_shared(1)},
+{_shared(2)},
+{_shared(3)},
+cut AS (
+    SELECT d.*, CASE WHEN supply > 0 THEN floor(budget / supply)::BIGINT ELSE 0 END AS epochs,
+           budget, supply
+    FROM d JOIN leaves USING (domain, lang, source) JOIN budgets3 USING (domain, lang, source)
+),
+ordered AS (
+    SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY
+               ('0x' || substr(md5('{mixing.SEED}:' || epochs || ':' || doc_id), 1, 12))::BIGINT,
+               doc_id) AS so_far
+    FROM cut
+),
+copies AS (
+    SELECT *, epochs + (so_far <= budget - epochs * supply)::BIGINT AS copies FROM ordered
+)
+SELECT doc_id, domain, lang, source, unnest(range(copies))::INTEGER AS copy FROM copies
+"""
+
+_URL = r"""
+    CASE WHEN host <> '' THEN host || regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(rest, '([?&])(utm_[a-z]+|gclid|fbclid)=[^&]*', '\1', 'g'),
+        '&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', ''), '/$', '') END"""
+_OP9 = rf"""
+WITH bare AS (
+    SELECT page_id, html, regexp_replace(
+               regexp_replace(url, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '#.*$', '') AS u
+    FROM pages
+),
+parts AS (
+    SELECT page_id, html,
+           regexp_replace(regexp_replace(translate(
+               regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1),
+               '{url_filters.UPPER}', '{url_filters.UPPER.lower()}'), '^www\.', ''),
+               ':(80|443)$', '') AS host,
+           regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1) AS rest
+    FROM bare
+),
+named AS (
+    SELECT page_id, {_URL} AS canonical_url, sha256(html) AS digest,
+           '"' || substr(md5(html), 1, 16) || '"' AS tag, strlen(html) AS size,
+           page_id * {queries.PAGE_SECONDS} AS seconds
+    FROM parts
+),
+linked AS (
+    SELECT r.page_id, r.canonical_url, r.tag, r.seconds, max(f.page_id) AS found
+    FROM named r LEFT JOIN named f
+      ON f.canonical_url = r.canonical_url
+     AND f.seconds < r.seconds + {queries.REVISIT_SECONDS} AND f.digest IS NOT NULL
+    GROUP BY ALL
+),
+judged AS (
+    SELECT l.*, f.digest, f.size, CASE WHEN found IS NULL THEN 'unresolved'
+           WHEN f.tag = l.tag THEN 'confirmed' ELSE 'changed' END AS outcome
+    FROM linked l LEFT JOIN named f ON f.page_id = l.found
+)
+SELECT 2 * page_id + 1 AS record_id, canonical_url, outcome, 2 * found AS response_id,
+       CASE WHEN outcome = 'confirmed' THEN digest END AS payload_sha256,
+       CASE WHEN outcome = 'confirmed' THEN concat_ws(chr(10),
+           'cache-control: max-age=600', 'content-length: ' || size,
+           'content-type: text/html; charset=utf-8', 'date: ' || (seconds + {queries.REVISIT_SECONDS}),
+           'etag: W/' || tag, 'vary: Accept-Encoding') END AS headers
+FROM judged
+"""
+
 _OP10_RULES = ", ".join(
     f"({_quoted(r.name)}, {_quoted(r.action)}, {_quoted(r.name.partition('/')[0])}, "
     f"{_quoted('/' + r.name.partition('/')[2])})"
@@ -151,5 +270,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _OP2,
     "op3_exact_dedup": _OP3,
     "op6_sharding": _OP6,
+    "op7_mixing": _OP7,
+    "op9_warc": _OP9,
     "op10_url_filters": _OP10,
 }
