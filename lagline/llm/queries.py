@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lagline.llm import (
     bpe,
     exact_dedup,
+    minhash,
     mixing,
     quality_rules,
     sharding,
@@ -116,6 +117,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", "copy")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def crawl_records(pages: DataFrame) -> DataFrame:
     """A crawl of the pages: of each a full response, and a revisit a day later.
 
@@ -185,6 +191,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_minhash": op8_minhash,
     "op9_warc": op9_warc,
     "op10_url_filters": op10_url_filters,
 }
