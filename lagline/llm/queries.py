@@ -14,6 +14,7 @@ from lagline.llm import (
     mixing,
     quality_rules,
     sharding,
+    suffix_dedup,
     token_counts,
     url_filters,
     warc,
@@ -75,6 +76,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier one holds in a string of 50 bytes."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards with the source mixture of the whole table, row counts one apart at most."""
     placed = sharding.proportional_shards(table(spark, sf_dir, "documents"))
@@ -189,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
