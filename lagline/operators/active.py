@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from lagline.functions.scores import distance_from
 from lagline.operators.candidates import logistic_candidate
-from lagline.operators.sampling import TOP_K_LIMIT, sample_cut, stratified_parts
+from lagline.operators.sampling import sample_cut, stratified_parts
 from lagline.operators.selection import with_probability
 from lagline.operators.sets import union_all, without_keys
 from lagline.schemas import ORDER_KEY, SCORE, TARGET
+from lagline.session import scratch_path
+from lagline.sources.files import save_dataset
 
 # The sizes of a round and the seed.
 INITIAL_SIZE = 20
@@ -42,9 +44,9 @@ def partition(
     cut = sample_cut(
         available, size=initial_size, label=label, key=key, seed=f"labelled:{seed}"
     )
-    # A row per class that got a share, so no pass over the data.
-    if cut.cuts.count() < 2:
-        raise ValueError("the labelled set must contain at least two classes")
+    classes = available.select(label).distinct().count()
+    if cut.cuts.count() < max(2, classes):
+        raise ValueError(f"the labelled set must contain each of the {classes} classes, at least two")
     labelled, pool = cut.parts(available)
     return Pools(labelled, pool, test)
 
@@ -52,9 +54,11 @@ def partition(
 def most_uncertain(
     scored: DataFrame, size: int = QUERY_SIZE, score: str = SCORE, key: str = ORDER_KEY
 ) -> DataFrame:
-    """The rows nearest 0.5, lower key first among equals: a distributed top-k."""
-    if size > TOP_K_LIMIT:
-        raise ValueError(f"a query of more than {TOP_K_LIMIT} rows is not a top-k")
+    """The rows nearest 0.5, lower key first among equals.
+
+    Spark keeps ``size`` rows per task, or sorts in ranges where ``size`` is large; any
+    size works.
+    """
     return scored.orderBy(distance_from(score), F.col(key)).limit(size)
 
 
@@ -68,17 +72,17 @@ def move_queried(
 ) -> tuple[DataFrame, DataFrame]:
     """(labelled with the queried rows added, pool without them).
 
-    ``labels`` is asked for the queried keys only. ``queried`` is the result of a
-    top-k, so both joins broadcast it and the pool is not shuffled.
+    ``labels`` is asked for the queried keys only. A short query is broadcast by its
+    measured size; a long one is joined by shuffling.
     """
-    answers = labels.select(key, label).join(F.broadcast(queried.select(key)), key)
+    answers = labels.select(key, label).join(queried.select(key), key)
     revealed = (
         pool.drop(label)
-        .join(F.broadcast(queried.select(key)), key, "left_semi")
+        .join(queried.select(key), key, "left_semi")
         .join(answers, key)
         .select(*labelled.columns)
     )
-    return union_all([labelled, revealed]), without_keys(pool, queried, key, bounded=True)
+    return union_all([labelled, revealed]), without_keys(pool, queried, key)
 
 
 def fit_labelled(labelled: DataFrame, columns: list[str], label: str = TARGET) -> PipelineModel:
@@ -118,8 +122,8 @@ def run_round(
         first = fit_labelled(small, columns, label)
         chosen = most_uncertain(with_probability(first, start.pool), query_size, key=key)
         chosen = chosen.select(key, SCORE)
-        # At most query_size rows; pinned so that both sides of the move see the same.
-        queried = spark.createDataFrame(chosen.collect(), chosen.schema)
+        # Written, so that both sides of the move see the same rows.
+        queried = save_dataset(chosen, scratch_path(spark, "queried"))
         labels = start.pool.select(key, label)
         labelled, pool = move_queried(small, start.pool, queried, labels, key, label)
         end = Pools(labelled, pool, start.test)

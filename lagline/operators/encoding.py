@@ -105,12 +105,15 @@ def scale_standard(data: DataFrame, columns: list[str], output: str = "scaled")
     return (
         model.transform(data)
         .withColumn(output, vector_to_array(F.col("scaled_vector")))
-        .drop("scaled_vector", "numbers")
+        .drop("scaled_vector", "numbers", *[f"{name}{IMPUTED}" for name in columns])
     )
 
 
 def scaling_stages(columns: list[str], output: str = "features") -> list[Stage]:
+    """Scaling of numbers; a missing one takes the column's mean and so scales to 0."""
+    filled = [f"{name}{IMPUTED}" for name in columns]
     return [
-        VectorAssembler(inputCols=columns, outputCol="numbers"),
+        Imputer(inputCols=columns, outputCols=filled, strategy="mean"),
+        VectorAssembler(inputCols=filled, outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol=output, withMean=True, withStd=True),
     ]

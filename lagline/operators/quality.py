@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,11 +85,24 @@ def coerced(data: DataFrame, rules: TableRule) -> DataFrame:
     )
 
 
+def unchecked_rules(data: DataFrame, rules: TableRule) -> list[str]:
+    """Row rules that use a column the table does not have."""
+    blocked = []
+    for name, holds in rules.row_rules.items():
+        try:
+            coerced(data, rules).select(holds()).schema  # noqa: B018  analysis only, no job
+        except AnalysisException:
+            blocked.append(name)
+    return blocked
+
+
 def column_failures(data: DataFrame, rules: TableRule) -> DataFrame:
-    """Missing and unexpected columns. Looks at the schema, never at the rows."""
+    """Missing and unexpected columns, and row rules that cannot be evaluated for
+    want of a column. Looks at the schema, never at the rows."""
     expected = [rule.name for rule in rules.columns]
     found = [("missing_column", name) for name in expected if name not in data.columns]
     found += [("extra_column", name) for name in data.columns if name not in expected]
+    found += [("unchecked_rule", name) for name in unchecked_rules(data, rules)]
     schema = T.StructType([T.StructField(name, T.StringType()) for name in FAILURE_COLUMNS])
     return data.sparkSession.createDataFrame(
         [(check, name, None, None) for check, name in found], schema
@@ -111,8 +125,9 @@ def _row_cases(data: DataFrame, rules: TableRule, checks: set[str] | None) -> li
             cases.append(("length", rule.name, ~F.length(value).between(*rule.length), raw))
         if rule.allowed:
             cases.append(("allowed_values", rule.name, ~value.isin(list(rule.allowed)), raw))
-    if not {rule.name for rule in rules.columns} - set(data.columns):
-        for name, holds in rules.row_rules.items():
+    blocked = set(unchecked_rules(data, rules))
+    for name, holds in rules.row_rules.items():
+        if name not in blocked:
             cases.append((name, None, ~F.coalesce(holds(), F.lit(False)), F.lit(None)))
     return [case for case in cases if checks is None or case[0] in checks]
 
@@ -154,7 +169,7 @@ def repeated_values(data: DataFrame, column: str) -> DataFrame:
 
 
 def unique_failures(data: DataFrame, rules: TableRule) -> DataFrame | None:
-    """Every row that shares a value which should be unique.
+    """Every row that shares a value which should be unique, in its declared type.
 
     The grouped count reduces in the map tasks. The semi join keeps all rows of
     a repeated value; if one value holds a large share of the rows, adaptive
@@ -164,13 +179,15 @@ def unique_failures(data: DataFrame, rules: TableRule) -> DataFrame | None:
     for rule in _present(data, rules):
         if not rule.unique:
             continue
-        rows = data.join(repeated_values(data, rule.name), on=rule.name, how="left_semi")
+        rows = _with_raw(data, rules).join(
+            repeated_values(coerced(data, rules), rule.name), on=rule.name, how="left_semi"
+        )
         frames.append(
             rows.select(
                 F.lit("unique").alias("check"),
                 F.lit(rule.name).alias("column"),
-                F.col(rules.key).cast("string").alias("key"),
-                F.col(rule.name).cast("string").alias("value"),
+                F.col(_raw(rules.key)).cast("string").alias("key"),
+                F.col(_raw(rule.name)).cast("string").alias("value"),
             )
         )
     return union_all(frames) if frames else None
@@ -182,7 +199,7 @@ def failures(data: DataFrame, rules: TableRule) -> DataFrame:
     duplicates = unique_failures(data, rules)
     if duplicates is not None:
         frames.append(duplicates)
-    if rules.strict:
+    if rules.strict or unchecked_rules(data, rules):
         frames.append(column_failures(data, rules))
     return union_all(frames)
 
@@ -200,5 +217,6 @@ def validate(data: DataFrame, rules: TableRule) -> tuple[DataFrame, DataFrame]:
     valid = _with_raw(data, rules).filter(~failing).select(*names)
     for rule in _present(data, rules):
         if rule.unique:
-            valid = without_keys(valid, repeated_values(data, rule.name), rule.name).select(*names)
+            repeated = repeated_values(coerced(data, rules), rule.name)
+            valid = without_keys(valid, repeated, rule.name).select(*names)
     return valid, failures(data, rules)

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from lagline.functions.hashing import HASH_BITS, key_bucket, key_hash
 from lagline.schemas import ORDER_KEY, TARGET
+from lagline.session import scratch_path
+from lagline.sources.files import save_dataset
 
 SPLIT_STEPS = 10_000
-MAX_CLASSES = 1_000
-TOP_K_LIMIT = 100_000
+ROWS_PER_SLOT = 50_000
 
 
 def in_train(
@@ -70,7 +71,7 @@ def class_quotas(classes: DataFrame, size: int | None, fraction: float | None) -
     """Rows to draw per class so that they add up to the size: largest remainder.
 
     ``classes`` has one row per class, ``cut_class`` and its count ``n``; adds
-    ``quota`` and the number of ``classes``. Equal remainders go to the smaller
+    ``quota``. Equal remainders go to the smaller
     label. Products are decimals: the size times a count can pass 64 bits.
     """
     everything = Window.partitionBy(F.lit(1))
@@ -81,7 +82,6 @@ def class_quotas(classes: DataFrame, size: int | None, fraction: float | None) -
         "n",
         total.alias("total"),
         F.least(wanted, total).alias("size"),
-        F.count(F.lit(1)).over(everything).alias("classes"),
     ).withColumn("product", F.col("size").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
     shares = sized.withColumn("whole", F.expr("product div total")).withColumn(
         "remainder", F.expr("product % total")
@@ -91,7 +91,7 @@ def class_quotas(classes: DataFrame, size: int | None, fraction: float | None) -
     )
     left_over = F.col("size") - F.sum("whole").over(everything)
     extra = (F.row_number().over(by_remainder) <= left_over).cast("int")
-    return shares.select("cut_class", "n", (F.col("whole") + extra).alias("quota"), "classes")
+    return shares.select("cut_class", "n", (F.col("whole") + extra).alias("quota"))
 
 
 @dataclass(frozen=True)
@@ -115,10 +115,8 @@ class SampleCut:
         """Rows with a flag: inside the sample or not. One map-side join."""
         label = F.col(self.label) if self.label else F.lit(0)
         rows = data.withColumn("__hash", key_hash(self.key, self.salt)).withColumn("__class", label)
-        # One row per class and at most MAX_CLASSES of them, checked when built.
-        joined = rows.join(
-            F.broadcast(self.cuts), F.col("__class").eqNullSafe(F.col("cut_class")), "left"
-        )
+        # One row per class; broadcast by its measured size where that is small.
+        joined = rows.join(self.cuts, F.col("__class").eqNullSafe(F.col("cut_class")), "left")
         inside = F.struct(F.col("__hash").alias("h"), F.col(self.key).alias("k")) <= F.struct(
             F.col("cut_hash").alias("h"), F.col("cut_key").alias("k")
         )
@@ -134,61 +132,57 @@ def sample_cut(
     label: str | None = TARGET,
     key: str = ORDER_KEY,
     seed: int | str = 42,
-    bits: int = 16,
+    bits: int | None = None,
 ) -> SampleCut:
     """Find where an exact sample of the given size ends, class by class.
 
     Ranking every row of a class would put the class in one task. Instead the
     rows are counted per (class, leading hash bits); the running count of those
     at most 2^bits numbers per class shows the one slot in which the quota is
-    reached, and only that slot's rows, 1/2^bits of the class, are ranked.
-    ``key`` must be unique.
+    reached, and only that slot's rows, 1/2^bits of the class, are ranked. ``bits``
+    follows the row count, so a slot stays small. ``key`` must be unique.
     """
     if (size is None) == (fraction is None):
         raise ValueError("give either size or fraction")
     salt = f"sample:{seed}"
+    if bits is None:
+        bits = min(HASH_BITS, max(16, (data.count() // ROWS_PER_SLOT).bit_length()))
     slot = F.shiftright(key_hash(key, salt), HASH_BITS - bits)
     rows = data.select(
         (F.col(label) if label else F.lit(0)).alias("cut_class"),
         F.col(key).alias("cut_key"),
         key_hash(key, salt).alias("cut_hash"),
-        slot.cast("int").alias("slot"),
+        slot.cast("bigint").alias("slot"),
     )
     slots = rows.groupBy("cut_class", "slot").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("cut_class").orderBy("slot")
     filled = slots.withColumn("upto", F.sum("n").over(running))
-    # One more than allowed is enough to notice, and bounds all that follows.
-    totals = slots.groupBy("cut_class").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1)
+    totals = slots.groupBy("cut_class").agg(F.sum("n").alias("n"))
     wanted = class_quotas(totals, size, fraction).filter(F.col("quota") > 0)
     reached = (
         filled.alias("f")
-        .join(
-            F.broadcast(wanted).alias("w"), F.col("f.cut_class").eqNullSafe(F.col("w.cut_class"))
-        )
+        .join(wanted.alias("w"), F.col("f.cut_class").eqNullSafe(F.col("w.cut_class")))
         .filter(F.col("upto") >= F.col("quota"))
         .filter(F.col("upto") - F.col("f.n") < F.col("quota"))
         .select(
             F.col("f.cut_class").alias("reached_class"),
             F.col("slot").alias("reached_slot"),
             (F.col("quota") - (F.col("upto") - F.col("f.n"))).alias("missing"),
-            "classes",
         )
     )
     ranking = Window.partitionBy("cut_class").orderBy("cut_hash", "cut_key")
     last = (
         rows.join(
-            F.broadcast(reached),
+            reached,
             F.col("cut_class").eqNullSafe(F.col("reached_class"))
             & (F.col("slot") == F.col("reached_slot")),
         )
         .withColumn("position", F.row_number().over(ranking))
         .filter(F.col("position") == F.col("missing"))
-        .select("cut_class", "cut_hash", "cut_key", "classes")
+        .select("cut_class", "cut_hash", "cut_key")
     )
-    found = last.collect()
-    if found and found[0]["classes"] > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values, so it is not a class")
-    cuts = data.sparkSession.createDataFrame(found, last.schema).drop("classes")
+    # One row per class, written once for the uses that follow.
+    cuts = save_dataset(last, scratch_path(data.sparkSession, "sample-cuts"))
     return SampleCut(cuts, key, label, salt)
 
 
@@ -218,13 +212,7 @@ def exact_stratified_sample(
 def capped_sample(
     data: DataFrame, size: int = 2_000, key: str = ORDER_KEY, seed: int = 42
 ) -> DataFrame:
-    """All rows if there are at most ``size``, else exactly ``size`` of them.
-
-    A small sample is one top-k by hash, which keeps ``size`` rows per task. A
-    larger one goes through the same cut as the stratified sample.
-    """
-    if size <= TOP_K_LIMIT:
-        return data.orderBy(key_hash(key, f"sample:{seed}"), F.col(key)).limit(size)
+    """All rows if there are at most ``size``, else exactly ``size`` of them."""
     return stratified_parts(data, size, label=None, key=key, seed=seed)[0]
 
 

@@ -8,9 +8,11 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lagline.functions.scores import positive_probability
 from lagline.operators.candidates import DEFAULT_CANDIDATES, candidate
+from lagline.operators.encoding import encoder
 from lagline.operators.metrics import (
     best_candidate,
     candidate_results,
@@ -20,6 +22,8 @@ from lagline.operators.metrics import (
 from lagline.operators.sampling import assign_folds, fold_parts
 from lagline.operators.sets import union_all
 from lagline.schemas import ORDER_KEY, SCORE, TARGET
+from lagline.session import scratch_path
+from lagline.sources.files import save_dataset
 from lagline.sources.models import save_metadata, save_model
 
 
@@ -35,21 +39,50 @@ def out_of_fold(
     parallelism: int = 3,
     key: str = ORDER_KEY,
 ) -> DataFrame:
-    """Each row scored by the model that did not see it: key, label, probability.
+    """Each row scored by the model that did not see it: key, label, probability, fold.
 
-    The fits are independent Spark jobs, so they are submitted together and the
-    cluster's scheduler interleaves them.
+    ``fold`` is written by the scoring itself: the number of the fold that was held
+    out when the row's model was fitted.
+    """
+    return out_of_fold_runs(folded, (model_name,), folds, max_iter, parallelism, key)[model_name]
+
+
+def out_of_fold_runs(
+    folded: DataFrame,
+    candidates: tuple[str, ...] = DEFAULT_CANDIDATES,
+    folds: int = 3,
+    max_iter: int | None = None,
+    parallelism: int = 3,
+    key: str = ORDER_KEY,
+) -> dict[str, DataFrame]:
+    """Out-of-fold scores per candidate, as written tables.
+
+    A fold is encoded once and its vectors serve all candidates. The folds are
+    independent Spark jobs, so they are submitted together and the cluster's
+    scheduler interleaves them.
     """
     spark = folded.sparkSession
 
-    def one_fold(fold: int) -> DataFrame:
+    def one_fold(fold: int) -> dict[str, DataFrame]:
         others, held_out = fold_parts(folded, fold)
-        model = candidate(model_name, max_iter).fit(others)
-        return with_probability(model, held_out).select(key, TARGET, SCORE)
+        encoding = encoder(impute=True).fit(others)
+        vectors = encoding.transform(others).select(TARGET, "features").persist()
+        try:
+            scored = {}
+            for name in candidates:
+                trees = candidate(name, max_iter).getStages()[-1].fit(vectors)
+                rows = with_probability(trees, encoding.transform(held_out))
+                scored[name] = save_dataset(
+                    rows.select(key, TARGET, SCORE).withColumn("fold", F.lit(fold)),
+                    scratch_path(spark, "out-of-fold"),
+                )
+            return scored
+        finally:
+            vectors.unpersist()
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         parts = list(pool.map(inheritable_thread_target(spark)(one_fold), range(folds)))
-    return union_all(parts)
+    return {name: union_all([part[name] for part in parts]) for name in candidates}
 
 
 def cross_validation_results(
@@ -60,24 +93,9 @@ def cross_validation_results(
     max_iter: int | None = None,
     key: str = ORDER_KEY,
 ) -> DataFrame:
-    """Best threshold and out-of-fold F1 per candidate.
-
-    Folds follow from the key, so a lost cached block is recomputed to the same
-    rows; the cache is for speed alone and is released before returning.
-    """
-    folded = assign_folds(train, folds, seed, key).persist()
-    try:
-        frames = {
-            name: out_of_fold(folded, name, folds, max_iter, parallelism=folds, key=key)
-            for name in candidates
-        }
-        # A row per candidate; collected so that the cache can go.
-        rows = candidate_results(frames).collect()
-    finally:
-        folded.unpersist()
-    return train.sparkSession.createDataFrame(
-        rows, "candidate_order int, model_name string, threshold double, f1 double"
-    )
+    """Best threshold and out-of-fold F1 per candidate."""
+    folded = assign_folds(train, folds, seed, key)
+    return candidate_results(out_of_fold_runs(folded, candidates, folds, max_iter, folds, key))
 
 
 def cross_validate_models(

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +42,6 @@ from lagline.sources import adapter, files, models
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Short training for the catalogue; the library's defaults are far longer.
-CATALOG_ITERATIONS = 5
-MODEL = "gbt"
 PROFILED = [*NUMERIC_FEATURES, "customer_state", "purchase_month"]
 MONEY = ["total_price", "total_freight"]
 DIRTY_COLUMNS = [
@@ -163,12 +162,22 @@ def parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, threshold = models.load_metadata(spark, _store(spark, sf_dir))
-    model = models.load_model(_store(spark, sf_dir))
+    """Whether the stored model and the one in memory agree, per test order."""
+    store = _store(spark, sf_dir)
+    name, threshold = models.load_metadata(spark, store)
     _, test = _split(spark, sf_dir)
-    rows = scoring.predict(model, test, threshold)
-    return rows.groupBy("prediction").agg(F.count("order_id").alias("order_count")).select(
-        F.lit(name).alias("model_name"), "prediction", "order_count"
+
+    def scored(model: PipelineModel) -> DataFrame:
+        return scoring.predict(model, test, threshold).select(
+            "order_id", "probability_positive", "prediction"
+        )
+
+    kept = scored(_trained(spark, sf_dir, name)).toDF("order_id", "kept", "kept_prediction")
+    same = (F.col("probability_positive") == F.col("kept")) & (
+        F.col("prediction") == F.col("kept_prediction")
+    )
+    return scored(models.load_model(store)).join(kept, "order_id").select(
+        "order_id", same.alias("agrees")
     )
 
 
@@ -231,9 +240,10 @@ def threshold_label_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def positive_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each test order's class probabilities form a distribution."""
     _, test = _split(spark, sf_dir)
     model = models.load_model(_store(spark, sf_dir))
-    return selection.with_probability(model, test).select("order_id", "probability_positive")
+    return selection.with_probability(model, test).select("order_id", _probability_ok())
 
 
 @query
@@ -638,21 +648,59 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sampling.split_data(_silver(spark, sf_dir))
 
 
+def _fold_scores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Out-of-fold scores of both candidates at their full settings, made once."""
+
+    def build() -> dict[str, DataFrame]:
+        train, _ = _split(spark, sf_dir)
+        return selection.out_of_fold_runs(sampling.assign_folds(train))
+
+    return _shared(spark, sf_dir, "fold scores", build)
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.candidate_results(_fold_scores(spark, sf_dir))
+
+
+def _winner(spark: SparkSession, sf_dir: str) -> tuple[str, float]:
+    best = metrics.best_candidate(_results(spark, sf_dir)).first()
+    return best["model_name"], best["threshold"]
+
+
+def _trained(spark: SparkSession, sf_dir: str, name: str) -> PipelineModel:
+    """A candidate fitted on all training rows at its full settings, made once."""
+
+    def build() -> PipelineModel:
+        train, _ = _split(spark, sf_dir)
+        return candidate(name).fit(train.persist())
+
+    return _shared(spark, sf_dir, f"trained {name}", build)
+
+
 def _store(spark: SparkSession, sf_dir: str) -> str:
-    """The model store after training with a threshold found out of fold."""
+    """The model store: the winning candidate and its threshold."""
 
     def build() -> str:
         store = scratch_path(spark, "models")
-        train, _ = _split(spark, sf_dir)
-        name, threshold = selection.cross_validate_models(
-            train, candidates=(MODEL,), max_iter=CATALOG_ITERATIONS
-        )
-        selection.train_model(name, train, threshold, store, max_iter=CATALOG_ITERATIONS)
+        name, threshold = _winner(spark, sf_dir)
+        models.save_model(_trained(spark, sf_dir, name), store)
+        models.save_metadata(spark, store, name, threshold)
         return store
 
     return _shared(spark, sf_dir, "store", build)
 
 
+def _probability_ok() -> Column:
+    """Both probabilities within 0 and 1 and adding up to 1."""
+    pair = vector_to_array("probability")
+    return (
+        pair[0].between(0.0, 1.0)
+        & pair[1].between(0.0, 1.0)
+        & (F.abs(pair[0] + pair[1] - 1) < 1e-9)
+        & (pair[1] == F.col("probability_positive"))
+    ).alias("probability_ok")
+
+
 @query
 def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.category_order(_silver(spark, sf_dir))
@@ -714,9 +762,18 @@ def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted_scores(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    train, test = _split(spark, sf_dir)
-    model = candidate(name, CATALOG_ITERATIONS).fit(train)
-    return selection.with_probability(model, test).select("order_id", TARGET, "probability_positive")
+    """Test orders with the size of the fitted model and whether its output is sound."""
+    _, test = _split(spark, sf_dir)
+    model = _trained(spark, sf_dir, name)
+    trees = model.stages[-1]
+    allowed = trees.getMaxDepth()
+    return selection.with_probability(model, test).select(
+        "order_id",
+        TARGET,
+        F.lit(trees.getNumTrees).alias("trees"),
+        F.lit(all(tree.depth <= allowed for tree in trees.trees)).alias("depth_ok"),
+        _probability_ok(),
+    )
 
 
 @query
@@ -731,25 +788,38 @@ def deep_gbt_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def leafwise_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fitted_scores(spark, sf_dir, "leafwise")
+    """Another name of the deep candidate, so the same fitted model."""
+    return _fitted_scores(spark, sf_dir, "deep_gbt")
 
 
 @query
 def logistic_candidate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test orders, and whether the fit's gradient on the training rows is near zero."""
     train, test = _split(spark, sf_dir)
-    model = logistic_candidate(NUMERIC_FEATURES, train.count()).fit(train)
-    return selection.with_probability(model, test).select("order_id", TARGET, "probability_positive")
+    rows = train.count()
+    model = logistic_candidate(NUMERIC_FEATURES, rows).fit(train)
+    weights = model.stages[-1].coefficients.toArray().tolist()
+    fitted = selection.with_probability(model, train).withColumn("x", vector_to_array("features"))
+    error = F.col("probability_positive") - F.col(TARGET)
+    slopes = fitted.agg(*[F.avg(error * F.col("x")[i]) for i in range(len(weights))]).first()
+    flat = all(abs(slope + weight / rows) < 1e-4 for slope, weight in zip(slopes, weights))
+    return selection.with_probability(model, test).select(
+        "order_id", TARGET, F.lit(flat).alias("gradient_ok"), _probability_ok()
+    )
 
 
 @query
 def train_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _split(spark, sf_dir)
-    store = scratch_path(spark, "models")
-    selection.train_model(MODEL, train, 0.16, store, max_iter=CATALOG_ITERATIONS)
+    """Whether the store holds the winner and its threshold, and scores every test order."""
+    store = _store(spark, sf_dir)
     name, threshold = models.load_metadata(spark, store)
+    _, test = _split(spark, sf_dir)
+    winner, best = _winner(spark, sf_dir)
     scored = scoring.predict(models.load_model(store), test, threshold)
-    return scored.agg(F.count("order_id").alias("order_count")).select(
-        F.lit(name).alias("model_name"), F.lit(threshold).alias("threshold"), "order_count"
+    return scored.agg(F.count("prediction").alias("order_count")).select(
+        F.lit(name == winner).alias("is_winner"),
+        F.lit(threshold == best).alias("has_threshold"),
+        "order_count",
     )
 
 
@@ -768,20 +838,28 @@ def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _split(spark, sf_dir)
-    return selection.cross_validation_results(train, max_iter=CATALOG_ITERATIONS)
+    """Per candidate: threshold on the grid, F1 as recomputed from its out-of-fold scores."""
+    frames = []
+    for row in _results(spark, sf_dir).collect():
+        scores = _fold_scores(spark, sf_dir)[row["model_name"]]
+        again = metrics.confusion_metrics(scores, row["threshold"]).select("f1")
+        frames.append(
+            again.select(
+                F.lit(row["candidate_order"]).alias("candidate_order"),
+                F.lit(row["model_name"]).alias("model_name"),
+                F.lit(row["threshold"] in metrics.THRESHOLDS).alias("on_grid"),
+                (F.abs(F.col("f1") - F.lit(row["f1"])) < 1e-9).alias("f1_ok"),
+            )
+        )
+    return sets.union_all(frames)
 
 
 @query
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which fold's model scored each training row, and how often: once each."""
-    train, _ = _split(spark, sf_dir)
-    folded = sampling.assign_folds(train)
-    scored = selection.out_of_fold(folded, MODEL, max_iter=CATALOG_ITERATIONS)
-    return (
-        scored.join(folded.select("order_id", "fold"), "order_id")
-        .groupBy("order_id", TARGET, "fold")
-        .agg(F.count("probability_positive").alias("times_scored"))
+    """The fold held out by the model that scored each training row, and how often."""
+    scored = sets.union_all(list(_fold_scores(spark, sf_dir).values()))
+    return scored.groupBy("order_id", TARGET, "fold").agg(
+        F.count("probability_positive").alias("times_scored")
     )
 
 
@@ -797,11 +875,20 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether F1 follows from precision and recall and the area from all thresholds."""
     store = _store(spark, sf_dir)
     name, threshold = models.load_metadata(spark, store)
+    model = models.load_model(store)
     _, test = _split(spark, sf_dir)
-    result = selection.evaluate_model(models.load_model(store), name, test, threshold)
-    return selection.evaluation_frame(spark, result)
+    found = selection.evaluate_model(model, name, test, threshold)
+    both = found["precision"] + found["recall"]
+    f1 = 2 * found["precision"] * found["recall"] / both if both else 0.0
+    area = BinaryClassificationEvaluator(labelCol=TARGET, numBins=0).evaluate(model.transform(test))
+    return test.agg(F.count("order_id").alias("order_count")).select(
+        "order_count",
+        F.lit(abs(found["f1"] - f1) < 1e-9).alias("f1_ok"),
+        F.lit(abs(found["roc_auc"] - area) < 1e-9).alias("area_ok"),
+    )
 
 
 @query
@@ -815,27 +902,38 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each test order's label follows from its probability and the threshold."""
     store = _store(spark, sf_dir)
     _, threshold = models.load_metadata(spark, store)
     _, test = _split(spark, sf_dir)
-    scored = scoring.predict(models.load_model(store), test, threshold)
-    return scored.select("order_id", "probability_positive", "prediction")
+    follows = (F.col("probability_positive") >= F.lit(threshold)).cast("int") == F.col("prediction")
+    return scoring.predict(models.load_model(store), test, threshold).select(
+        "order_id", TARGET, follows.alias("follows"), _probability_ok()
+    )
 
 
-@query
-def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     _silver(spark, sf_dir)
     silver = _shared(spark, sf_dir, "silver", lambda: None)
     return scoring.score_orders(spark, _store(spark, sf_dir), silver, scratch_path(spark, "gold"))
 
 
+@query
+def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written gold rows: inputs as they were, scores within their range."""
+    sound = F.col("probability_positive").between(0.0, 1.0) & F.col("prediction").isin(0, 1)
+    return _gold(spark, sf_dir).select(
+        "order_id", "purchase_hour", "customer_state", TARGET, sound.alias("sound")
+    )
+
+
 @query
 def score_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each scored order's label follows from its probability and the threshold."""
     _, threshold = models.load_metadata(spark, _store(spark, sf_dir))
     score = F.col("probability_positive")
     agrees = (score >= F.lit(threshold)).cast("int") == F.col("prediction")
-    return score_orders(spark, sf_dir).select(
+    return _gold(spark, sf_dir).select(
         "order_id", TARGET, (score.between(0.0, 1.0) & agrees).alias("consistent")
     )
 
@@ -849,15 +947,21 @@ def shap_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_summary(attribution.shap_input(model, _silver(spark, sf_dir)))
 
 
-def _explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
-    path = models.model_path(_store(spark, sf_dir))
-    tasks = spark.sparkContext.defaultParallelism
-    return attribution.shap_values(spark, path, _silver(spark, sf_dir), tasks=tasks)
-
-
 @query
 def shap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explained(spark, sf_dir)[0]
+    """Per order: a value and a finite contribution for every slot of the model's vector."""
+    path = models.model_path(_store(spark, sf_dir))
+    vectors = attribution.shap_input(models.load_model(_store(spark, sf_dir)), _silver(spark, sf_dir))
+    arrays = attribution.shap_arrays(vectors, attribution.read_trees(spark, path))
+    slots = len(encoding.vector_names(vectors))
+    return arrays.select(
+        "order_id",
+        (F.size("value") == slots).alias("values_ok"),
+        (
+            (F.size("contribution") == slots)
+            & F.forall("contribution", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+        ).alias("contributions_ok"),
+    )
 
 
 @query
@@ -882,13 +986,13 @@ def shap_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shap_model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source columns that importance is given for, and whether it is sound."""
     path = models.model_path(_store(spark, sf_dir))
     model = models.load_model(_store(spark, sf_dir))
     vectors = attribution.shap_input(model, _silver(spark, sf_dir), None)
     arrays = attribution.shap_arrays(vectors, attribution.read_trees(spark, path))
-    return attribution.importance(
-        attribution.by_source(arrays, encoding.vector_names(vectors))
-    )
+    found = attribution.importance(attribution.by_source(arrays, encoding.vector_names(vectors)))
+    return found.select("feature", (F.col("importance") >= 0).alias("importance_ok"))
 
 
 def _linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -951,9 +1055,10 @@ def al_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def al_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pool orders scored by the model of the labelled ones."""
     pools = active.partition(_silver(spark, sf_dir))
     model = active.fit_labelled(pools.labelled, NUMERIC_FEATURES)
-    return selection.with_probability(model, pools.pool).select("order_id", "probability_positive")
+    return selection.with_probability(model, pools.pool).select("order_id", _probability_ok())
 
 
 @query
@@ -975,4 +1080,8 @@ def al_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def al_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return active.run_round(_silver(spark, sf_dir), NUMERIC_FEATURES).report
+    """Sizes before and after a round."""
+    report = active.run_round(_silver(spark, sf_dir), NUMERIC_FEATURES).report
+    return report.select(
+        "stage", "labelled", "pool", "test", F.col("accuracy").between(0.0, 1.0).alias("accuracy_ok")
+    )

@@ -20,7 +20,6 @@ from lagline.session import get_session
 from lagline.sources.files import read_table, save_dataset
 from lagline.sources.models import model_path
 
-DEFAULT_SAMPLE = 2_000
 
 
 def run(
@@ -28,7 +27,7 @@ def run(
     silver_path: str,
     store: str,
     output: str,
-    sample_size: int | None = DEFAULT_SAMPLE,
+    sample_size: int | None = None,
     top: int = 10,
 ) -> dict[str, DataFrame]:
     """Write contributions, importance, the bar table and the beeswarm table.
@@ -53,12 +52,14 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--silver", required=True, help="Parquet table to explain")
     parser.add_argument("--store", required=True, help="model store to read")
     parser.add_argument("--output", required=True, help="folder for the result tables")
-    parser.add_argument("--sample-size", type=int, default=DEFAULT_SAMPLE)
-    parser.add_argument("--all-rows", action="store_true", help="explain every row")
+    parser.add_argument("--sample-size", type=int, help="explain so many rows instead of all")
     args = parser.parse_args(argv)
-    size = None if args.all_rows else args.sample_size
     tables = run(
-        get_session("late-delivery-attribution"), args.silver, args.store, args.output, size
+        get_session("late-delivery-attribution"),
+        args.silver,
+        args.store,
+        args.output,
+        args.sample_size,
     )
     tables["bar"].orderBy("position").show(truncate=False)
 

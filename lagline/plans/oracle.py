@@ -624,9 +624,40 @@ _add(
 _add("threshold_curve", "SELECT * FROM curve", _curve("curve", "probability_positive"))
 _add(
     "out_of_fold",
-    """SELECT order_id, is_late, fold, CAST(1 AS BIGINT) AS times_scored FROM split
+    """SELECT order_id, is_late, fold, CAST(2 AS BIGINT) AS times_scored FROM split
     WHERE in_train""",
 )
+
+# Fitted models: what must hold of any fit, per order
+
+_TEST = "FROM split WHERE NOT in_train"
+_add("model_store", f"SELECT order_id, true AS agrees {_TEST}")
+_add("positive_probability", f"SELECT order_id, true AS probability_ok {_TEST}")
+for _name, _trees in (("gbt", 100), ("deep_gbt", 200), ("leafwise", 200)):
+    _add(
+        f"{_name}_candidate",
+        f"SELECT order_id, is_late, CAST({_trees} AS INTEGER) AS trees, true AS depth_ok, "
+        f"true AS probability_ok {_TEST}",
+    )
+_add(
+    "logistic_candidate",
+    f"SELECT order_id, is_late, true AS gradient_ok, true AS probability_ok {_TEST}",
+)
+_add(
+    "train_winner",
+    f"SELECT true AS is_winner, true AS has_threshold, count(*) AS order_count {_TEST}",
+)
+_add(
+    "cross_validate",
+    """SELECT CAST(c AS INTEGER) AS candidate_order, name AS model_name, true AS on_grid,
+      true AS f1_ok FROM (VALUES (0, 'gbt'), (1, 'deep_gbt')) AS t(c, name)""",
+)
+_add("evaluate_model", f"SELECT count(*) AS order_count, true AS f1_ok, true AS area_ok {_TEST}")
+_add("predict", f"SELECT order_id, is_late, true AS follows, true AS probability_ok {_TEST}")
+_add(
+    "score_orders",
+    "SELECT order_id, purchase_hour, customer_state, is_late, true AS sound FROM model_input",
+)
 _add("score_consistency", "SELECT order_id, is_late, true AS consistent FROM features")
 _add(
     "confusion_metrics",
@@ -663,6 +694,16 @@ _LINEAR = (
     positions AS (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER)
       AS position FROM importances)"""
 )
+_add(
+    "shap_values",
+    "SELECT order_id, true AS values_ok, true AS contributions_ok FROM model_input",
+)
+_add(
+    "shap_model_importance",
+    "SELECT unnest(["
+    + ", ".join(f"'{name}'" for name in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES))
+    + "]) AS feature, true AS importance_ok",
+)
 _add("shap_additivity", "SELECT order_id, 0.0::DOUBLE AS gap FROM features")
 _add(
     "shap_importance",
@@ -708,6 +749,16 @@ _add(
     FROM initial""",
     _POOLS,
 )
+_add("al_fit", "SELECT order_id, true AS probability_ok FROM initial WHERE NOT selected", _POOLS)
+_add(
+    "al_round",
+    """SELECT stage, labelled + moved AS labelled, pool - moved AS pool, test, true AS accuracy_ok
+    FROM (SELECT count(*) FILTER (selected) AS labelled,
+                 count(*) FILTER (NOT selected) AS pool FROM initial),
+         (SELECT count(*) FILTER (selected) AS test FROM tested),
+         (VALUES ('before', 0), ('after', 10)) AS s(stage, moved)""",
+    _POOLS,
+)
 _add("al_query", "SELECT order_id, probability_positive FROM queried", _POOLS)
 _add(
     "al_update",

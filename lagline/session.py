@@ -41,7 +41,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def partition_hint(spark: SparkSession) -> int:
     """How many ranges to cut an ordered computation into.
 
-    Follows the shuffle width; the upper bound only keeps the list of cut points
-    on the driver small, results do not depend on the number.
+    Follows the shuffle width; results do not depend on the number.
     """
-    return min(10_000, max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

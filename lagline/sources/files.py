@@ -23,7 +23,9 @@ def read_csv(
     With declared types only the header is looked at beforehand: columns get
     their declared type by name, others stay text, and no pass over the data is
     made to infer anything. ``keep_corrupt`` adds a column holding the text of
-    lines that do not fit; without it such fields become null.
+    lines that do not fit; without it such fields become null. Every file must have
+    the columns in the order of the first one's header: a file that differs is an
+    error, since its fields would otherwise land in other columns unnoticed.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if declared is None:
@@ -37,6 +39,7 @@ def read_csv(
     return (
         reader.option("timestampFormat", TIMESTAMP_FORMAT)
         .option("timestampNTZFormat", TIMESTAMP_FORMAT)
+        .option("enforceSchema", False)
         .schema(T.StructType(fields))
         .csv(str(path))
     )

@@ -197,7 +197,7 @@ def test_contributions_equal_brute_force(spark, iterations, table_bits, monkeypa
 
 def test_contributions_add_up_to_the_log_odds(spark, store, silver):
     path = models.model_path(store)
-    long, base = attribution.shap_values(spark, path, silver, tasks=3)
+    long, base = attribution.shap_values(spark, path, silver)
     sums = long.groupBy("order_id").agg(F.sum("contribution").alias("total"))
     probability = selection.with_probability(models.load_model(store), silver)
     p = F.col("probability_positive")
