@@ -16,8 +16,8 @@ copies that is the text they come from). Pairs are verified by exact weighted Ja
 similarity. Where a bucket still holds more than one component, its texts go through an
 exact way: a prefix filter. Two texts with similarity ``t`` or more share one of the
 first shingles, in order of rarity, that make up more than ``1 - t`` of the weight, so
-only texts of different components that share such a shingle are verified. No candidate
-is capped or dropped.
+only texts of different components that share such a shingle, and whose weight up to
+there leaves enough to share, are verified. No candidate is capped or dropped.
 
 Texts with equal words are collapsed before banding; they are one class by definition.
 
@@ -264,29 +264,39 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, frequencies, threshold: float) -> DataFrame:
-    """(id, shingle): the rarest shingles that make up more than ``1 - threshold``."""
+    """(id, shingle, spent, total) of the rarest shingles up to ``1 - threshold``.
+
+    ``spent`` is the weight of the rarer shingles of the text, ``total`` that of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = [], []
+            rows, keys, before, totals = [], [], [], []
             for at in range(len(batch)):
                 hashes = np.frombuffer(batch.column(1)[at].as_py(), dtype=np.uint64)
                 weights = np.frombuffer(batch.column(2)[at].as_py(), dtype=np.float32)
                 order = np.lexsort((hashes, frequencies.value[_slots(hashes)]))
-                spent = np.cumsum(weights[order]) - weights[order]
-                first = order[spent <= (1 - threshold) * weights.sum() + 1e-3]
-                keys.append(hashes[first].astype(np.int64))
-                rows.append(np.full(len(first), at))
+                ordered = weights[order].astype(np.float64)
+                total, spent = ordered.sum(), np.cumsum(ordered) - ordered
+                first = spent <= (1 - threshold) * total + 1e-3
+                keys.append(hashes[order[first]].astype(np.int64))
+                before.append(spent[first])
+                totals.append(np.full(len(keys[-1]), total))
+                rows.append(np.full(len(keys[-1]), at))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(np.concatenate(rows))),
                         pa.array(np.concatenate(keys)),
+                        pa.array(np.concatenate(before)),
+                        pa.array(np.concatenate(totals)),
                     ],
-                    names=["id", "shingle"],
+                    names=["id", "shingle", "spent", "total"],
                 )
 
-    return sets.select("id", "hashes", "weights").mapInArrow(run, "id bigint, shingle bigint")
+    return sets.select("id", "hashes", "weights").mapInArrow(
+        run, "id bigint, shingle bigint, spent double, total double"
+    )
 
 
 def _representatives(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -367,11 +377,24 @@ def near_classes(
     ).filter("low < high").select("shingle")
     left = keyed.join(several, "shingle", "left_semi")
     right = left.select(
-        "shingle", F.col("id").alias("other"), F.col("component").alias("other_component")
+        F.col("shingle").alias("other_shingle"),
+        F.col("id").alias("other"),
+        F.col("component").alias("other_component"),
+        F.col("spent").alias("other_spent"),
+        F.col("total").alias("other_total"),
     )
+    # At the first shingle that two texts share, neither's rarer ones are shared, which
+    # bounds what they can have in common. If that falls short at the first, it does at
+    # every later one.
+    common = F.least(F.col("total") - F.col("spent"), F.col("other_total") - F.col("other_spent"))
+    enough = common * (1 + threshold) >= threshold * (F.col("total") + F.col("other_total")) - 1e-3
     more = (
-        left.join(right, "shingle")
-        .filter("component < other_component")
+        left.join(
+            right,
+            (F.col("shingle") == F.col("other_shingle"))
+            & (F.col("component") < F.col("other_component"))
+            & enough,
+        )
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         .distinct()
     )
