@@ -52,8 +52,8 @@ DRAW_BITS = 16
 # Odd multipliers of a 64-bit mixing step.
 MIX_1 = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xD6E8FEB86659FD93)
-SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 MEMO_WORDS = 500_000
+STRIP = 1_024
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -65,68 +65,82 @@ def mixed(values: np.ndarray) -> np.ndarray:
 class _WordNumbers(dict):
     """Words to 64-bit numbers, remembered up to a bound."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        number = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        number = self[word] = xxhash.xxh64_intdigest(word)
         return number
 
 
 _NUMBERS = _WordNumbers()
 
 
-def split_words(text: str | None) -> list[str]:
-    """Words between the six ASCII white-space characters."""
-    return [w for w in (text or "").translate(SPACES).split(" ") if w]
+def split_words(text: str | None) -> list[bytes]:
+    """Words between the six ASCII white-space characters, in UTF-8."""
+    return (text or "").encode("utf-8", "replace").split()
 
 
-def word_numbers(text: str | None) -> np.ndarray:
-    words = split_words(text)
+def word_numbers(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_NUMBERS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes in order, and their counts."""
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """Hash of every shingle in the order of the text."""
     width = min(WINDOW, len(words))
     if not width:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
     total = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for k in range(width):
-        total = mixed(total * MIX_1 + words[k : len(words) - width + 1 + k])
-    return np.unique(total, return_counts=True)
+        total = total * MIX_1 + words[k : len(words) - width + 1 + k]
+        total ^= total >> np.uint64(29)
+    return mixed(total)
+
+
+def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in order, and their counts."""
+    return np.unique(shingle_hashes(word_numbers(words)), return_counts=True)
 
 
 @lru_cache(maxsize=2)
-def draws(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A pool of Gamma(2,1), log Gamma(2,1) and uniform numbers."""
+def draws(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A pool of draws: Gamma(2,1) and its inverse, log Gamma(2,1), and uniform numbers."""
     source = np.random.Generator(np.random.PCG64(seed))
     size = 1 << DRAW_BITS
     rate = source.gamma(2.0, 1.0, size).astype(np.float32) + np.float32(1e-6)
     cost = np.log(source.gamma(2.0, 1.0, size) + 1e-12).astype(np.float32)
-    return rate, cost, source.random(size, dtype=np.float32)
+    shift = source.random(size, dtype=np.float32)
+    return rate, np.float32(1) / rate, cost - rate * (1 - shift), shift
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray, count: int, seed: int = SEED) -> np.ndarray:
-    """``count`` consistent weighted samples of a weighted set, as 64-bit numbers."""
-    rate, cost, shift = draws(seed)
+    """``count`` consistent weighted samples of a weighted set, as 64-bit numbers.
+
+    One row per sample and one column per shingle, in strips that stay in the cache.
+    """
+    rate, inverse, offset, shift = draws(seed)
     seeds = mixed(np.arange(1, count + 1, dtype=np.uint64) * MIX_1 + np.uint64(seed))
     best = np.full(count, np.inf, dtype=np.float32)
     drawn = np.zeros(count, dtype=np.uint64)
-    step = max(1, 2_000_000 // count)
-    log_weights = np.log(weights).astype(np.float32)
-    for start in range(0, len(hashes), step):
-        part = hashes[start : start + step]
-        keys = (part[:, None] ^ seeds[None, :]) * MIX_2
-        at = (keys >> np.uint64(64 - DRAW_BITS)).astype(np.intp)
-        r, b = rate[at], shift[at]
-        level = np.floor(log_weights[start : start + step, None] / r + b)
-        # log of c / (y * exp(r)) with y = exp(r * (level - b)).
-        score = cost[at] - r * (level - b + 1)
-        first = np.argmin(score, axis=0)
-        column = np.arange(count)
-        value = score[first, column]
+    logs = np.log(weights).astype(np.float32)
+    rows = np.arange(count)
+    for start in range(0, len(hashes), STRIP):
+        part, log = hashes[start : start + STRIP], logs[start : start + STRIP]
+        keys = part[None, :] ^ seeds[:, None]
+        keys *= MIX_2
+        keys >>= np.uint64(64 - DRAW_BITS)
+        at = keys.view(np.int64)
+        level = inverse.take(at)
+        level *= log
+        level += shift.take(at)
+        np.floor(level, out=level)
+        # log of c / (y * exp(r)) with y = exp(r * (level - shift)).
+        score = rate.take(at)
+        score *= level
+        np.subtract(offset.take(at), score, out=score)
+        first = score.argmin(axis=1)
+        value = score[rows, first]
         better = value < best
-        token = mixed(part[first] + (level[first, column].astype(np.int64).astype(np.uint64) * MIX_1))
+        token = mixed(part[first] + level[rows, first].astype(np.int64).view(np.uint64) * MIX_1)
         best[better], drawn[better] = value[better], token[better]
     return drawn
 
@@ -150,7 +164,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0):
-                found, _ = shingles(word_numbers(text.as_py()))
+                found = shingle_hashes(word_numbers(split_words(text.as_py())))
                 counts[np.unique(_slots(found))] += 1
         used = np.flatnonzero(counts)
         for start in range(0, len(used), 65_536):
@@ -177,8 +191,9 @@ def damped_idf(frequencies: np.ndarray, documents: int) -> np.ndarray:
     return (1 + np.log1p(n / np.maximum(frequencies, 1)) / np.log1p(n)).astype(np.float32)
 
 
-def weighted(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes, counts = shingles(word_numbers(text))
+def weighted(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in order, and their TF-IDF weights."""
+    hashes, counts = shingles(words)
     return hashes, counts * idf[_slots(hashes)]
 
 
@@ -192,13 +207,13 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
                 words = split_words(value.as_py())
                 if not words:
                     continue
-                hashes, weights = weighted(value.as_py(), idf.value)
+                hashes, weights = weighted(words, idf.value)
                 drawn = samples(hashes, weights, BANDS * ROWS).reshape(BANDS, ROWS)
                 key = np.arange(BANDS, dtype=np.uint64)
                 for k in range(ROWS):
                     key = mixed(key * MIX_1 + drawn[:, k])
                 kept.append(at)
-                digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 bands.append(key.astype(np.int64))
             flat = np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -220,7 +235,7 @@ def packed_sets(texts: DataFrame, idf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [weighted(t.as_py(), idf.value) for t in batch.column(1)]
+            sets = [weighted(split_words(t.as_py()), idf.value) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
