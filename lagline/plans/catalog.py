@@ -8,6 +8,7 @@ table, one split and one trained model per input folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -44,18 +45,6 @@ QUERIES: dict[str, Query] = {}
 
 PROFILED = [*NUMERIC_FEATURES, "customer_state", "purchase_month"]
 MONEY = ["total_price", "total_freight"]
-DIRTY_COLUMNS = [
-    "order_id",
-    "customer_id",
-    "order_status",
-    "order_purchase_timestamp",
-    "order_approved_at",
-]
-DIRTY_RULES = quality.TableRule(
-    columns=tuple(rule for rule in quality.ORDER_RULES.columns if rule.name in DIRTY_COLUMNS),
-    key="order_id",
-    row_rules=quality.ORDER_RULES.row_rules,
-)
 WEIGHTS = {
     "item_count": -8,
     "seller_count": 3,
@@ -511,7 +500,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _row_check(spark: SparkSession, sf_dir: str, check: str) -> DataFrame:
-    return quality.row_failures(_raw(spark, sf_dir), DIRTY_RULES, {check})
+    return quality.row_failures(_raw(spark, sf_dir), quality.ORDER_RULES, {check})
 
 
 @query
@@ -521,7 +510,7 @@ def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.unique_failures(_raw(spark, sf_dir), DIRTY_RULES)
+    return quality.unique_failures(_raw(spark, sf_dir), quality.ORDER_RULES)
 
 
 @query
@@ -544,9 +533,14 @@ def dq_row_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _row_check(spark, sf_dir, "approval_after_purchase")
 
 
+def _misshapen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw feed with a column too many and one too few."""
+    return _raw(spark, sf_dir).drop("order_delivered_carrier_date").withColumn("channel", F.lit("web"))
+
+
 @query
 def dq_strict_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _raw(spark, sf_dir).withColumn("channel", F.lit("web"))
+    data = _misshapen(spark, sf_dir)
     rows = data.agg(F.count(F.lit(1)).alias("n"))
     return quality.column_failures(data, quality.ORDER_RULES).select(
         "check", "column", rows.scalar().alias("affected_rows")
@@ -555,18 +549,18 @@ def dq_strict_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.failures(_raw(spark, sf_dir), DIRTY_RULES)
+    return quality.failures(_misshapen(spark, sf_dir), quality.ORDER_RULES)
 
 
 @query
 def dq_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = quality.TableRule(
+    """Rows that pass everything; a customer may order twice here, so one key is unique."""
+    rules = replace(
+        quality.ORDER_RULES,
         columns=tuple(
-            quality.ColumnRule(r.name, r.type, r.nullable, r.name == "order_id", r.length, r.allowed)
-            for r in DIRTY_RULES.columns
+            replace(rule, unique=rule.unique and rule.name == "order_id")
+            for rule in quality.ORDER_RULES.columns
         ),
-        key="order_id",
-        row_rules=DIRTY_RULES.row_rules,
     )
     return quality.validate(_raw(spark, sf_dir), rules)[0]
 
@@ -577,8 +571,12 @@ def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table with ids, status and times, and the numbers made from it."""
+    orders = adapter.orders(spark, sf_dir).persist()
+    tables = (orders, _profiled(spark, sf_dir))
     return _rounded(
-        profile.profile_columns(_profiled(spark, sf_dir)), ["mean", "std", *profile.QUARTILES]
+        sets.union_all([profile.profile_columns(table) for table in tables]),
+        ["mean", "std", *profile.QUARTILES],
     )
 
 

@@ -121,7 +121,16 @@ raw_orders AS (
          CASE WHEN h % 83 = 0 THEN 'not a date'
               WHEN h % 79 = 0 THEN CAST(purchase - to_minutes(60) AS VARCHAR)
               WHEN h % 50 <> 0 THEN CAST(purchase + to_hours(h % 72) AS VARCHAR) END
-           AS order_approved_at
+           AS order_approved_at,
+         CASE WHEN h % 71 = 0 THEN 'soon'
+              WHEN h % 3 <> 0 THEN CAST(purchase + to_days(4) AS VARCHAR) END
+           AS order_delivered_carrier_date,
+         CASE WHEN h % 67 = 0 THEN 'unknown'
+              WHEN h % 4 <> 0 THEN CAST(purchase + to_days(9) AS VARCHAR) END
+           AS order_delivered_customer_date,
+         CASE WHEN h % 61 = 0 THEN 'to be set'
+              WHEN h % 59 <> 0 THEN CAST(purchase + to_days(20) AS VARCHAR) END
+           AS order_estimated_delivery_date
   FROM raw_base
 )
 """
@@ -358,11 +367,22 @@ def _failure(check: str, column: str | None, where: str, value: str) -> str:
 
 _PURCHASE = "TRY_CAST(order_purchase_timestamp AS TIMESTAMP)"
 _APPROVED = "TRY_CAST(order_approved_at AS TIMESTAMP)"
+_LATER = (
+    "order_delivered_carrier_date",
+    "order_delivered_customer_date",
+    "order_estimated_delivery_date",
+)
 _STATUSES = ", ".join(f"'{status}'" for status in ORDER_STATUSES)
 _FAILURES = {
     "dq_not_null": [
         _failure("not_null", name, f"{name} IS NULL", name)
-        for name in ("order_id", "customer_id", "order_status", "order_purchase_timestamp")
+        for name in (
+            "order_id",
+            "customer_id",
+            "order_status",
+            "order_purchase_timestamp",
+            "order_estimated_delivery_date",
+        )
     ],
     "dq_unique": [
         _failure(
@@ -387,6 +407,7 @@ _FAILURES = {
         for name, cast in (
             ("order_purchase_timestamp", _PURCHASE),
             ("order_approved_at", _APPROVED),
+            *[(name, f"TRY_CAST({name} AS TIMESTAMP)") for name in _LATER],
         )
     ],
     "dq_row_rule": [
@@ -400,33 +421,55 @@ _FAILURES = {
 }
 for _name, _parts in _FAILURES.items():
     _add(_name, " UNION ALL ".join(_parts))
-_add("dq_failures", " UNION ALL ".join(part for parts in _FAILURES.values() for part in parts))
+_add(
+    "dq_failures",
+    " UNION ALL ".join(
+        part
+        for parts in _FAILURES.values()
+        for part in parts
+        if "'order_delivered_carrier_date' AS" not in part
+    )
+    + " UNION ALL SELECT 'missing_column', 'order_delivered_carrier_date', NULL, NULL"
+    + " UNION ALL SELECT 'extra_column', 'channel', NULL, NULL",
+)
 _add(
     "dq_strict_columns",
     """SELECT name AS "check", col AS "column", (SELECT count(*) FROM raw_orders) AS affected_rows
     FROM (VALUES
       ('missing_column', 'order_delivered_carrier_date'),
-      ('missing_column', 'order_delivered_customer_date'),
-      ('missing_column', 'order_estimated_delivery_date'),
       ('extra_column', 'channel')) AS t(name, col)""",
 )
 _add(
     "dq_valid_rows",
     f"""SELECT order_id, customer_id, order_status,
-      {_PURCHASE} AS order_purchase_timestamp, {_APPROVED} AS order_approved_at
+      {_PURCHASE} AS order_purchase_timestamp, {_APPROVED} AS order_approved_at,
+      {", ".join(f"TRY_CAST({name} AS TIMESTAMP) AS {name}" for name in _LATER)}
     FROM raw_orders
     WHERE length(order_id) = 32 AND order_status IN ({_STATUSES})
+      AND {" AND ".join(f"({name} IS NULL OR TRY_CAST({name} AS TIMESTAMP) IS NOT NULL)" for name in _LATER)}
+      AND order_estimated_delivery_date IS NOT NULL
       AND {_PURCHASE} IS NOT NULL AND (order_approved_at IS NULL OR {_APPROVED} >= {_PURCHASE})""",
 )
 
 
-def _column_profile(name: str) -> str:
+# Columns of the orders table that are profiled as text.
+_ORDER_TEXTS = (
+    "order_status",
+    "order_purchase_timestamp",
+    "order_approved_at",
+    "order_delivered_customer_date",
+    "order_estimated_delivery_date",
+)
+
+
+def _column_profile(name: str, table: str = "model_input") -> str:
     common = (
         f"SELECT '{name}' AS column_name, count({name}) AS value_count, "
         f"count(*) FILTER ({name} IS NULL) AS null_count, count(DISTINCT {name}) AS distinct_count, "
     )
-    if name == "customer_state":
-        rest = f"min({name}) AS min_text, max({name}) AS max_text, " + ", ".join(
+    if name == "customer_state" or name in _ORDER_TEXTS:
+        text = f"CAST({name} AS VARCHAR)"
+        rest = f"min({text}) AS min_text, max({text}) AS max_text, " + ", ".join(
             f"CAST(NULL AS DOUBLE) AS {field}"
             for field in ("min_value", "max_value", "mean", "std", "q1", "median", "q3")
         )
@@ -440,10 +483,16 @@ def _column_profile(name: str) -> str:
                 for field, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
             )
         )
-    return f"{common}{rest} FROM model_input"
+    return f"{common}{rest} FROM {table}"
 
 
-_add("profile_columns", " UNION ALL ".join(_column_profile(name) for name in PROFILED))
+_add(
+    "profile_columns",
+    " UNION ALL ".join(
+        [_column_profile(n, "m_orders") for n in ("order_id", "customer_id", *_ORDER_TEXTS)]
+        + [_column_profile(n) for n in PROFILED]
+    ),
+)
 _add(
     "profile_top_values",
     """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY column_name

@@ -110,8 +110,8 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as untyped text, with the kinds of dirt a raw feed has.
 
     Read straight from the orders table, so a validation run needs no join. By
-    key hash: some statuses are unknown, some dates do not parse, some approvals
-    come before the purchase, some purchases are missing.
+    key hash: some statuses are unknown, some dates do not parse or are missing,
+    some approvals come before the purchase.
     """
     h = F.col("h")
     purchase = F.col("o_orderdate") + _minutes(h % 1440)
@@ -133,6 +133,15 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(h % 79 == 0, (purchase - _minutes(F.lit(60))).cast("string"))
             .when(h % 50 != 0, approved.cast("string"))
             .alias("order_approved_at"),
+            F.when(h % 71 == 0, "soon")
+            .when(h % 3 != 0, (purchase + _minutes(F.lit(4 * 1440))).cast("string"))
+            .alias("order_delivered_carrier_date"),
+            F.when(h % 67 == 0, "unknown")
+            .when(h % 4 != 0, (purchase + _minutes(F.lit(9 * 1440))).cast("string"))
+            .alias("order_delivered_customer_date"),
+            F.when(h % 61 == 0, "to be set")
+            .when(h % 59 != 0, (purchase + _minutes(F.lit(20 * 1440))).cast("string"))
+            .alias("order_estimated_delivery_date"),
         )
     )
 
