@@ -1,9 +1,11 @@
 """Time the headline queries and print one JSON line.
 
 Reads BENCH_SF_DIR (default /root/testdata/sf0.1) on local[BENCH_CPUS]. Each
-query runs once to warm up and once for the clock, its full result going to
-Spark's no-op sink, so every column of every row is computed and nothing is
-collected.
+query runs once cold and once warm, its full result going to Spark's no-op sink, so
+every column of every row is computed and nothing is collected. "queries" holds the
+warm times, "cold" the first ones, which include shared tables and models; the
+six out-of-fold fits at full settings are the cold time of cross_validate and are
+listed as "training".
 """
 
 from __future__ import annotations
@@ -58,12 +60,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
-    seconds = {}
+    cold, seconds = {}, {}
     for name in names:
-        for _ in range(2):
+        for taken in (cold, seconds):
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            seconds[name] = round(time.perf_counter() - start, 3)
+            taken[name] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(
             {
@@ -71,6 +73,8 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "cold": cold,
+                "training": cold.get("cross_validate"),
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

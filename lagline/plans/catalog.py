@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -377,8 +377,13 @@ def cumulative_orders_by_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def states_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All states with their position, so that the order itself can be compared."""
     by_state = rates.rate_by(_labelled_customers(spark, sf_dir), "customer_state")
-    return rates.ranked(by_state, "customer_state")
+    # One row per state.
+    order = Window.orderBy(F.desc("delay_rate"), F.asc("customer_state"))
+    return rates.ranked(
+        by_state.withColumn("position", F.row_number().over(order)), "customer_state"
+    )
 
 
 @query

@@ -11,14 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagline.operators.attribution import (
     beeswarm,
+    by_source,
     importance,
-    shap_values,
+    long_contributions,
+    read_trees,
+    shap_arrays,
+    shap_input,
     top_with_other,
 )
+from lagline.operators.encoding import vector_names
 from lagline.operators.scoring import numeric_as_double
 from lagline.session import get_session
 from lagline.sources.files import read_table, save_dataset
-from lagline.sources.models import model_path
+from lagline.sources.models import load_model, model_path
 
 
 
@@ -32,18 +37,22 @@ def run(
 ) -> dict[str, DataFrame]:
     """Write contributions, importance, the bar table and the beeswarm table.
 
-    The contributions are written first and read back, so the trees are walked
-    once however many summaries follow.
+    The contributions, one row with arrays per order, are written first and read
+    back, so the trees are walked once however many summaries follow. Importance is
+    by source column; the beeswarm shows single slots and unfolds only the top ones.
     """
     data = numeric_as_double(read_table(spark, silver_path))
-    contributions, _ = shap_values(spark, model_path(store), data, sample_size)
-    stored = save_dataset(contributions, f"{output}/contributions")
-    ranking = save_dataset(importance(stored), f"{output}/importance")
+    vectors = shap_input(load_model(store), data, sample_size)
+    names = vector_names(vectors)
+    arrays = shap_arrays(vectors, read_trees(spark, model_path(store)))
+    stored = save_dataset(arrays, f"{output}/contributions")
+    ranking = save_dataset(importance(by_source(stored, names)), f"{output}/importance")
+    slots = long_contributions(stored, names)
     return {
         "contributions": stored,
         "importance": ranking,
         "bar": save_dataset(top_with_other(ranking, top - 1), f"{output}/bar"),
-        "beeswarm": save_dataset(beeswarm(stored, ranking, top), f"{output}/beeswarm"),
+        "beeswarm": save_dataset(beeswarm(slots, importance(slots), top), f"{output}/beeswarm"),
     }
 
 

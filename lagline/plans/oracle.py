@@ -268,7 +268,11 @@ for _name, _key in (("items", "item_count"), ("sellers", "seller_count")):
           AS order_count_cumsum_pct FROM rates""",
         f"rates AS ({_rates(_key)})",
     )
-_add("states_ranked", _rates("customer_state"))
+_add(
+    "states_ranked",
+    "SELECT *, CAST(row_number() OVER (ORDER BY delay_rate DESC, customer_state) AS INTEGER) "
+    f"AS position FROM ({_rates('customer_state')})",
+)
 _add(
     "uncertainty_topk",
     """SELECT order_id, probability_positive FROM scored

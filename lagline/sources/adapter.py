@@ -62,21 +62,22 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("l_orderkey").alias("order_id"), "l_shipdate")
         .distinct()
     )
-    delivered = (
-        base.select("order_id", "order_purchase_timestamp")
-        .join(days_shipped, "order_id")
-        .filter(F.col("l_shipdate") >= F.col("order_purchase_timestamp"))
-        .groupBy("order_id")
-        .agg(F.min("l_shipdate").alias("order_delivered_customer_date"))
-    )
-    return base.join(delivered, "order_id", "left").select(
-        "order_id",
-        "customer_id",
-        "order_status",
-        "order_purchase_timestamp",
-        "order_approved_at",
-        "order_delivered_customer_date",
-        "order_estimated_delivery_date",
+    # The base columns pass through the group, so orders are read once and the
+    # group reuses the join's partitioning.
+    shipped = F.when(F.col("l_shipdate") >= F.col("order_purchase_timestamp"), F.col("l_shipdate"))
+    return (
+        base.join(days_shipped, "order_id", "left")
+        .groupBy(*base.columns)
+        .agg(F.min(shipped).alias("order_delivered_customer_date"))
+        .select(
+            "order_id",
+            "customer_id",
+            "order_status",
+            "order_purchase_timestamp",
+            "order_approved_at",
+            "order_delivered_customer_date",
+            "order_estimated_delivery_date",
+        )
     )
 
 

@@ -147,3 +147,10 @@ def test_rollup_partitioning_serves_the_join(spark, hot):
         plan = plan._jdf.queryExecution().executedPlan().toString()
     # One exchange for the orders, two for the distinct count, none for the join itself.
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_features_read_the_orders_table_once(spark, sf_dir):
+    from lagline.plans.catalog import QUERIES
+
+    plan = QUERIES["order_features"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderstatus#") and plan.count("Relation [o_orderkey") == 1
