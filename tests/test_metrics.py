@@ -105,8 +105,6 @@ def test_equal_distance_prefers_the_lower_key(spark):
     assert found[0] == 2 and set(found) == {1, 2, 3}
     plan = active.most_uncertain(data, 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
-    with pytest.raises(ValueError):
-        active.most_uncertain(data, 10**9)
 
 
 def test_curve_never_multiplies_rows(scored):
@@ -127,5 +125,5 @@ def test_queried_rows_move_from_pool_to_labelled(spark):
 
 def test_a_labelled_set_with_one_class_is_refused(spark):
     data = spark.range(100).selectExpr("id AS order_id", "0 AS is_late")
-    with pytest.raises(ValueError, match="two classes"):
+    with pytest.raises(ValueError, match="at least two"):
         active.partition(data)

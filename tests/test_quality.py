@@ -70,10 +70,9 @@ def test_rejected_value_is_shown(dirty):
 
 
 def test_row_checks_share_one_scan(spark, sf_dir):
-    from lagline.plans.catalog import DIRTY_RULES
     from lagline.sources import adapter
 
-    plan = quality.row_failures(adapter.raw_orders(spark, sf_dir), DIRTY_RULES)
+    plan = quality.row_failures(adapter.raw_orders(spark, sf_dir), ORDER_RULES)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and "Exchange" not in text
 
