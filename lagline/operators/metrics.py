@@ -14,7 +14,6 @@ from lagline.schemas import SCORE, TARGET
 # 0.05 to 0.50 in steps of 0.01, built from integers to be exact,
 # and the answer when there is nothing to choose from.
 THRESHOLDS = [i / 100 for i in range(5, 51)]
-DEFAULT_THRESHOLD = 0.5
 
 
 def _ratio(numerator: Column, denominator: Column) -> Column:
@@ -95,9 +94,9 @@ def best_threshold(curve: DataFrame) -> DataFrame:
 def find_best_threshold(
     predictions: DataFrame, label: str = TARGET, score: str = SCORE
 ) -> tuple[float, float]:
-    """(threshold, F1) of the best threshold."""
+    """(threshold, F1) of the best threshold; without rows the lowest one, with 0."""
     row = best_threshold(threshold_curve(predictions, label, score)).first()
-    return (row["threshold"], row["f1"]) if row else (DEFAULT_THRESHOLD, 0.0)
+    return row["threshold"], row["f1"]
 
 
 def confusion_metrics(

@@ -7,6 +7,7 @@ table, one split and one trained model per input folder.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -106,11 +107,16 @@ def _part(data: DataFrame, name: str) -> DataFrame:
 _SHARED: dict[tuple[str, str, str], object] = {}
 
 
+_SHARED_LOCK = threading.RLock()
+
+
 def _shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """Built once per application and input folder, whose tables are taken as fixed."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _SHARED:
-        _SHARED[key] = build()
-    return _SHARED[key]
+    with _SHARED_LOCK:
+        if key not in _SHARED:
+            _SHARED[key] = build()
+        return _SHARED[key]
 
 
 # Sources and sinks
