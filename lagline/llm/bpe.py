@@ -40,9 +40,9 @@ from lagline.llm.common import bounded_batches
 
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 FINAL = 256
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 MEMO_LENGTH = 64
-MEMO_PAIRS = 2_000_000
+MEMO_PAIRS = 200_000
 GATHER_IDS = 100_000
 
 

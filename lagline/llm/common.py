@@ -15,8 +15,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_ROWS = 2_000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1_000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

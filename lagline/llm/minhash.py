@@ -30,7 +30,7 @@ them).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,12 +47,13 @@ THRESHOLD = 0.8
 BANDS = 12
 ROWS = 4
 SLOT_BITS = 18
+RARITY_BITS = 18
 SEED = 42
 DRAW_BITS = 16
 # Odd multipliers of a 64-bit mixing step.
 MIX_1 = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xD6E8FEB86659FD93)
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 STRIP = 1_024
 
 
@@ -153,19 +154,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / total) if total > 0 else 0.0
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
+def _slots(hashes: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.intp)
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
     """Documents per hash slot over all rows of (text); at most ``2 ** SLOT_BITS`` numbers."""
 
+    def hashes(text: str | None) -> np.ndarray:
+        return shingle_hashes(word_numbers(split_words(text)))
+
+    return _slot_counts(texts.select("text"), hashes, SLOT_BITS)
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """Sets per hash slot over the rows of (hashes), in a table of ``2 ** RARITY_BITS``."""
+
+    def hashes(packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, dtype=np.uint64)
+
+    return _slot_counts(sets.select("hashes"), hashes, RARITY_BITS)
+
+
+def _slot_counts(rows: DataFrame, hashes: Callable[..., np.ndarray], bits: int) -> np.ndarray:
+    """Rows per hash slot; every row counts once in a slot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        counts = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                found = shingle_hashes(word_numbers(split_words(text.as_py())))
-                counts[np.unique(_slots(found))] += 1
+            for value in batch.column(0):
+                counts[np.unique(_slots(hashes(value.as_py()), bits))] += 1
         used = np.flatnonzero(counts)
         for start in range(0, len(used), 65_536):
             part = used[start : start + 65_536]
@@ -174,14 +192,13 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
             )
 
     summed = (
-        texts.select("text")
-        .mapInArrow(run, "slot int, n bigint")
+        rows.mapInArrow(run, "slot int, n bigint")
         .groupBy("slot")
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
-    out = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-    out[summed["slot"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy(dtype=np.int64)
+    out = np.zeros(1 << bits, dtype=np.int64)
+    out[summed["slot"].to_numpy()] = summed["n"].to_numpy()
     return out
 
 
@@ -290,7 +307,7 @@ def prefixes(sets: DataFrame, frequencies, threshold: float) -> DataFrame:
             for at in range(len(batch)):
                 hashes = np.frombuffer(batch.column(1)[at].as_py(), dtype=np.uint64)
                 weights = np.frombuffer(batch.column(2)[at].as_py(), dtype=np.float32)
-                order = np.lexsort((hashes, frequencies.value[_slots(hashes)]))
+                order = np.lexsort((hashes, frequencies.value[_slots(hashes, RARITY_BITS)]))
                 ordered = weights[order].astype(np.float64)
                 total, spent = ordered.sum(), np.cumsum(ordered) - ordered
                 first = spent <= (1 - threshold) * total + 1e-3
@@ -347,7 +364,6 @@ def near_classes(
     known = texts.filter("id is not null")
     frequencies = document_frequencies(known)
     documents = known.count()
-    shared_frequencies = spark.sparkContext.broadcast(frequencies)
     idf = spark.sparkContext.broadcast(damped_idf(frequencies, documents))
     signed = stored(
         signatures(known, idf).groupBy("id").agg(F.min(F.struct("digest", "bands")).alias("s")).select(
@@ -385,8 +401,10 @@ def near_classes(
         .distinct(),
         "minhash-rest",
     )
-    keyed = prefixes(sets.join(rest.select("id"), "id", "left_semi"), shared_frequencies, threshold)
-    keyed = stored(keyed.join(rest, "id"), "minhash-prefixes")
+    # The order by rarity is that among these texts: what one of them has alone comes first.
+    open_sets = stored(sets.join(rest.select("id"), "id", "left_semi"), "minhash-open-sets")
+    rare = spark.sparkContext.broadcast(rarity(open_sets))
+    keyed = stored(prefixes(open_sets, rare, threshold).join(rest, "id"), "minhash-prefixes")
     several = keyed.groupBy("shingle").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high").select("shingle")
