@@ -1,10 +1,10 @@
 """URL filters: pattern rules found through their rarest literal token.
 
 A rule is a regular expression together with literal tokens that every matching
-URL must contain. Running each rule on each URL grows with the product of both.
-Instead every rule is filed under one token, the one that the fewest URLs of the
-table contain; the tokens of a URL fetch the rules filed under them, and only
-those run their expression.
+URL must contain, one set of them per branch where it has alternatives. Running each
+rule on each URL grows with the product of both. Instead every branch is filed under
+one token, the one that the fewest URLs of the table contain; the tokens of a URL
+fetch the rules filed under them, and only those run their expression.
 
 Two kinds of rules: *host rules* (``net/``, ``example.com/de/``) fit a host, its
 subdomains and a path prefix, and the longest fitting one decides; *patterns*
@@ -33,13 +33,16 @@ BROADCAST_RULES = 100_000
 
 @dataclass(frozen=True)
 class Rule:
-    """``kind``: host or pattern; ``action``: block or allow."""
+    """``kind``: host or pattern; ``action``: block or allow.
+
+    Every matching URL has all tokens of at least one of the ``branches``.
+    """
 
     name: str
     action: str
     kind: str
     regex: str
-    tokens: tuple[str, ...]
+    branches: tuple[tuple[str, ...], ...]
     on: str = "address"
 
 
@@ -54,12 +57,16 @@ def host_rule(name: str, action: str) -> Rule:
     # when the rule's path does not end in a separator.
     cut = path if path.endswith("/") or not path else path.rpartition("/")[0]
     regex = rf"^(?:[^/]*\.)?\Q{host}/{path}\E"
-    return Rule(name, action, "host", regex, _tokens(f"{host}/{cut}"))
+    return Rule(name, action, "host", regex, (_tokens(f"{host}/{cut}"),))
 
 
-def pattern_rule(regex: str, action: str, tokens: Sequence[str]) -> Rule:
-    """A regular expression over the lower-cased URL and the whole tokens it implies."""
-    return Rule(regex, action, "pattern", regex, tuple(tokens), on="url")
+def pattern_rule(regex: str, action: str, *branches: Sequence[str]) -> Rule:
+    """A regular expression over the lower-cased URL and the whole tokens it implies.
+
+    A part of the expression that letters or digits can precede or follow is no whole
+    token. Alternatives with tokens of their own are listed as several branches.
+    """
+    return Rule(regex, action, "pattern", regex, tuple(map(tuple, branches)), on="url")
 
 
 # Host rules in force.
@@ -71,12 +78,12 @@ HOST_RULES = (
 )
 # Patterns for addresses that no host rule covers.
 PATTERNS = (
-    pattern_rule(r"://([^/?#]*\.)?[a-z0-9]*-?cheap-pills\.", "block", ("cheap", "pills")),
+    pattern_rule(r"://([^/?#]*\.)?[a-z0-9]*-?cheap-pills\.", "block", ("pills",)),
     pattern_rule(r"://([^/?#]*\.)?spam-farm\.", "block", ("spam", "farm")),
     pattern_rule(r"://([^/?#]*[.-])?casino[.-]", "block", ("casino",)),
     pattern_rule(r"://([^/?#]*[.-])?(free-)?porn[.-]", "block", ("porn",)),
     pattern_rule(r"://([^/?#]*[.-])?adult[.-]", "block", ("adult",)),
-    pattern_rule(r"/(login|signin)(/|\?|$)", "block", ("login",)),
+    pattern_rule(r"/(login|signin)(/|\?|$)", "block", ("login",), ("signin",)),
     pattern_rule(r"[?&]utm_source=feed(&|#|$)", "allow", ("utm", "source", "feed")),
 )
 
@@ -101,15 +108,17 @@ def url_tokens(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """One row per rule and branch; ``rule_id`` numbers these."""
+    filed = [(r, tokens) for r in rules for tokens in r.branches]
     return spark.createDataFrame(
-        [(i, r.name, r.action, r.kind, r.regex, list(r.tokens), r.on) for i, r in enumerate(rules)],
+        [(i, r.name, r.action, r.kind, r.regex, list(t), r.on) for i, (r, t) in enumerate(filed)],
         "rule_id int, name string, action string, kind string, regex string, "
         "tokens array<string>, target string",
     )
 
 
 def rarest_token_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Each rule with the token of its own that the fewest URLs contain.
+    """Each branch of a rule with the token of its own that the fewest URLs contain.
 
     ``tokens`` has one row per URL and token. Ties go to the longer, then the
     alphabetically first token. A rule without a token would have to run on
@@ -142,7 +151,7 @@ def judge_urls(
 ) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, pattern."""
     rules = [*host_rules, *patterns]
-    bare = [r.name for r in rules if not r.tokens]
+    bare = [r.name for r in rules if not r.branches or not all(r.branches)]
     if bare:
         raise ValueError(f"rules without a literal token: {bare}")
     spark = pages.sparkSession

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -549,6 +550,28 @@ def test_op10_rules_are_filed_under_their_rarest_token(spark):
     assert found["example.net/en/"] == "net" and found["org/fr/"] in ("fr", "org")
 
 
+def test_op10_every_pattern_against_brute_force(spark):
+    urls = [
+        "http://a.example.com/signin", "http://a.example.com/signin?x", "http://a.example.com/login/",
+        "http://a.example.com/signin/login", "http://a.example.com/signing", "http://a.example.com/xlogin",
+        "http://xcheap-pills.com/", "http://a.9-cheap-pills.com/", "http://cheap-pills.com/", "http://cheap-pillsx.com/",
+        "http://cheappills.com/", "http://spam-farm.com/", "http://xspam-farm.com/", "http://a.spam-farm.com/",
+        "http://my-casino-x.com/", "http://casinox.com/", "http://free-porn.com/", "http://freeporn.com/",
+        "http://a.porn-b.com/", "http://adult.com/", "http://x-adult.com/", "http://adults.com/",
+        "http://a.com/?utm_source=feed", "http://a.com/?b&UTM_source=feed#x", "http://a.com/?xutm_source=feed",
+    ]
+    # Either part of a rule's text can be the rarer one.
+    for common in ("pills/signin/spam/utm", "cheap/login/farm/feed"):
+        table = urls + [f"http://b.org/{common}/x{i}" for i in range(30)]
+        pages = spark.createDataFrame(list(enumerate(table)), "page_id long, url string").cache()
+        for rule in url_filters.PATTERNS:
+            rows = url_filters.judge_urls(pages, (), [rule]).collect()
+            found = {r["page_id"] for r in rows if r["pattern"] is not None}
+            assert found == {i for i, u in enumerate(table) if re.search(rule.regex, u.lower())}, rule.name
+        blocked = {table[r["page_id"]] for r in url_filters.judge_urls(pages).collect() if r["verdict"] == "block"}
+        assert {urls[0], urls[6]} <= blocked
+
+
 # Queries and pipeline
 
 
