@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -288,6 +289,73 @@ def test_op5_against_brute_force(odd, empty, small_docs):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def shard_files(folder, blocks: list[bytes], places: list[list[tuple[int, int]]]) -> None:
+    """One shard's files as a task of ``repeated_windows`` lays them down."""
+    flat = [p for own in places for p in own]
+    (folder / "0.text").write_bytes(b"".join(blocks))
+    for name, values, kind in (
+        ("lengths", [len(b) for b in blocks], "i4"),
+        ("counts", [len(p) for p in places], "i4"),
+        ("ids", [d for d, _ in flat], "i8"),
+        ("starts", [s for _, s in flat], "i4"),
+    ):
+        np.array(values, dtype=kind).tofile(folder / f"0.{name}")
+
+
+def lost_windows(runs) -> set:
+    return {
+        (d, s + k)
+        for ids, starts, counts in runs
+        for d, s, n in zip(ids.tolist(), starts.tolist(), counts.tolist())
+        for k in range(n)
+    }
+
+
+def test_op5_shard_in_pieces_against_brute_force(tmp_path, monkeypatch):
+    source = random.Random(4)
+    passage = bytes(source.choices(b"abcdef", k=40))
+    blocks, places = [], []
+    for doc in range(400):
+        inner = passage if doc % 3 else bytes(source.choices(b"ab", k=9)) + passage
+        text = bytes(source.choices(b"xy", k=source.choice((3, 12)))) + inner + bytes(source.choices(b"z", k=source.randint(20, 30)))
+        text = text if doc % 7 else b"q" * 70
+        anchors = suffix_dedup.window_anchors(np.frombuffer(text, dtype=np.uint8))
+        cuts = [0, *(np.flatnonzero(np.diff(anchors)) + 1).tolist(), len(anchors)]
+        for begin, end in zip(cuts, cuts[1:]):
+            blocks.append(text[begin : end + 49])
+            places.append([(d, begin) for d in range(1000 - doc, 1001 - doc + doc % 4 * 700, 700)])
+    shard_files(tmp_path, blocks, places)
+    least: dict[bytes, int] = {}
+    every = [(d, s + k, b[k : k + 50]) for b, p in zip(blocks, places) for d, s in p for k in range(len(b) - 49)]
+    for doc, _, window in every:
+        least[window] = min(doc, least.get(window, doc))
+    expected = {(d, at) for d, at, window in every if least[window] < d}
+    assert expected and lost_windows(suffix_dedup._lost_runs(str(tmp_path), 0)) == expected
+    for name, value in (("CUT_BYTES", 1), ("PIECE_WINDOWS", 64), ("STEP_BYTES", 500), ("STEP_PLACES", 7)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert lost_windows(suffix_dedup._lost_runs(str(tmp_path), 0)) == expected
+
+
+def test_op5_memory_does_not_follow_the_shard(tmp_path):
+    # A hot anchor: every document has other bytes around the same passage.
+    count, passage = 200_000, prose(9, 30).encode()[:66]
+    source = np.random.default_rng(5)
+    around = source.integers(97, 123, (count, 18), dtype=np.uint8)
+    text = np.concatenate([around, np.tile(np.frombuffer(passage, dtype=np.uint8), (count, 1))], axis=1)
+    text.tofile(tmp_path / "0.text")
+    for name, values, kind in (
+        ("lengths", np.full(count, 84), "i4"), ("counts", np.ones(count), "i4"),
+        ("ids", np.arange(count), "i8"), ("starts", np.zeros(count), "i4"),
+    ):
+        values.astype(kind).tofile(tmp_path / f"0.{name}")
+    tracemalloc.start()
+    # The 17 windows within the passage are those of document 0.
+    lost = sum(int(c[(c >= 17)].sum() // 17) for _, _, c in suffix_dedup._lost_runs(str(tmp_path), 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lost >= count - 1 and peak < 200 << 20
+
+
 # Sharding
 
 
