@@ -1,7 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words (the whole text where it has fewer). A shingle's weight
-is its count in the text times a damped inverse document frequency between 1 and 2.
+is its count in the text times a damped inverse document frequency between 1 and
+``1 + DAMPING``. Whatever the frequencies, a plain similarity of ``plain_bound(THRESHOLD)``
+is a weighted one of ``THRESHOLD``, so copies within a hot group are not lost.
 Document frequencies are those of ``2 ** SLOT_BITS`` hash slots over all documents: a
 table of that size whatever the input, so it is broadcast.
 
@@ -44,6 +46,8 @@ from lagline.llm.components import connected_components
 
 WINDOW = 5
 THRESHOLD = 0.8
+# What the rarest shingle weighs more than the most frequent.
+DAMPING = 0.02
 BANDS = 12
 ROWS = 4
 SLOT_BITS = 18
@@ -203,9 +207,19 @@ def _slot_counts(rows: DataFrame, hashes: Callable[..., np.ndarray], bits: int)
 
 
 def damped_idf(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    """Between 1 (in every document) and 2 (in one); near 1 with very few documents."""
+    """Above 1 (near it in every document) and up to ``1 + DAMPING`` (in one)."""
     n = max(documents, 1)
-    return (1 + np.log1p(n / np.maximum(frequencies, 1)) / np.log1p(n)).astype(np.float32)
+    rare = np.log1p(n / np.maximum(frequencies, 1)) / np.log1p(n)
+    return (1 + DAMPING * rare).astype(np.float32)
+
+
+def plain_bound(threshold: float) -> float:
+    """The similarity of the counts alone from which on texts are surely near.
+
+    At worst all that two texts share weighs 1 and all else ``1 + DAMPING``.
+    """
+    high = threshold * (1 + DAMPING)
+    return high / (high + 1 - threshold)
 
 
 def weighted(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -498,6 +498,25 @@ def test_op8_against_all_pairs(spark, small_docs):
         assert found == brute_classes(rows, idf)
 
 
+def test_op8_near_copies_of_a_text_in_a_third_of_the_rows(spark):
+    hot = prose(77, 404).split(" ")
+    copies = []
+    for first in (20, 30):
+        words = list(hot)
+        # Eight words far apart: 360 of 400 shingles stay, a plain similarity of 0.818.
+        for k in range(8):
+            words[first + 45 * k] = f"edit{first}x{k}"
+        copies.append(" ".join(words))
+    texts = [" ".join(hot)] * 100 + copies + [prose(1000 + i, 60) for i in range(200)]
+    sets = [{tuple(t.split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)} for t in (texts[0], *copies)]
+    assert 0.8 <= minhash.plain_bound(0.8) < 0.804
+    assert all(0.804 <= len(sets[0] & s) / len(sets[0] | s) < 0.83 for s in sets[1:])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(frame).collect()}
+    assert {found[i] for i in range(102)} == {0}
+    assert all(found[i] == i for i in range(102, len(texts)))
+
+
 def test_op8_odd_rows(odd, empty):
     rows = minhash.near_classes(odd).collect()
     assert len(rows) == len(odd_rows())
