@@ -50,6 +50,7 @@ SHARE = 0.02
 PROBES = 3
 PROBE_SHIFT = 20
 MAX_LANGUAGES = 4_096
+DRAWS = 1 << 40
 STRIP = 1 << 18
 # An odd multiplier and the shifts of a 64-bit mixing step.
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -183,22 +184,19 @@ class LanguageFilters:
 
 
 def sampled(docs: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` documents of each language, those of the smallest id hashes."""
-    known = docs.filter(F.col("lang").isNotNull()).withColumn("hash", F.xxhash64("id"))
-    # The rank limit works in the map tasks too, so a frequent language sends no more.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    cuts = (
-        known.select("lang", "hash")
-        .withColumn("place", place)
-        .filter(F.col("place") <= sample)
-        .groupBy("lang")
-        .agg(F.max("hash").alias("cut"))
-    )
-    found = cuts.limit(MAX_LANGUAGES + 1).collect()
+    """About ``sample`` documents of each language, those of the smallest id hashes.
+
+    The share to take follows from each language's count, so nothing is sorted and no
+    task sees a language as a whole. A language with fewer documents is taken whole.
+    """
+    known = docs.filter(F.col("lang").isNotNull())
+    sizes = known.groupBy("lang").agg(F.count("lang").alias("size")).limit(MAX_LANGUAGES + 1)
+    found = sizes.collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    bounded = docs.sparkSession.createDataFrame(found, cuts.schema)
-    return known.join(F.broadcast(bounded), "lang").filter(F.col("hash") <= F.col("cut"))
+    bounded = docs.sparkSession.createDataFrame(found, sizes.schema)
+    draw = F.pmod(F.xxhash64("id"), F.lit(DRAWS)) / DRAWS
+    return known.join(F.broadcast(bounded), "lang").filter(draw * F.col("size") < sample)
 
 
 def gram_documents(docs: DataFrame) -> DataFrame:
