@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagline.llm import mixing, quality_rules, queries, sharding, url_filters
+from lagline.llm import conversation_trie, mixing, quality_rules, queries, sharding, url_filters
 
 
 def _quoted(text: str) -> str:
@@ -74,22 +74,22 @@ FROM h WINDOW g AS (PARTITION BY text_sha256)
 """
 
 # CRC-32 from its definition: a table of 256 remainders, then one step per byte.
-_OP6 = f"""
-WITH RECURSIVE steps(n, c, k) AS (
+_CRC_TABLE = """steps(n, c, k) AS (
     SELECT range, range::BIGINT, 0 FROM range(256)
     UNION ALL
     SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1
     FROM steps WHERE k < 8
 ),
-crc AS (SELECT list(c ORDER BY n) AS remainders FROM steps WHERE k = 8),
-texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
-sums AS (
-    SELECT t, xor(4294967295, list_reduce(
+crc AS (SELECT list(c ORDER BY n) AS remainders FROM steps WHERE k = 8)"""
+_CRC = """xor(4294967295, list_reduce(
         list_prepend(4294967295, list_transform(range(1, strlen(t) + 1),
             lambda i: ('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::BIGINT)),
-        lambda c, b: xor(c // 256, remainders[xor(c % 256, b) + 1])))::BIGINT AS text_crc32
-    FROM texts, crc
-),
+        lambda c, b: xor(c // 256, remainders[xor(c % 256, b) + 1])))::BIGINT"""
+
+_OP6 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+sums AS (SELECT t, {_CRC} AS text_crc32 FROM texts, crc),
 ranked AS (
     SELECT doc_id, source, coalesce(text, '') AS t,
            row_number() OVER (PARTITION BY source ORDER BY
@@ -266,6 +266,59 @@ SELECT page_id, host, path, rule, coalesce(h.action, m.action, 'allow') AS verdi
 FROM parts LEFT JOIN hosted h USING (page_id) LEFT JOIN matched m USING (page_id)
 """
 
+# A node is the list of its turns' digests, written one after the other.
+_OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, strlen(coalesce(text, ''))::BIGINT AS bytes,
+           sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+           turn
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+    SELECT conv_id, digest, bytes,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS place
+    FROM turns
+),
+sizes AS (SELECT conv_id, count(*) AS n, conv_id::VARCHAR AS t FROM placed GROUP BY conv_id),
+convs AS (
+    SELECT s.conv_id, s.conv_id - s.conv_id % {conversation_trie.GROUP} AS lender,
+           {_CRC} % {conversation_trie.HEADS} AS h
+    FROM sizes s, crc
+),
+lent AS (SELECT c.*, least(h, coalesce(n, 0)) AS borrowed FROM convs c LEFT JOIN sizes s ON s.conv_id = lender),
+rebuilt AS (
+    SELECT l.conv_id, place AS depth, digest, bytes FROM lent l JOIN placed p ON p.conv_id = lender AND place <= borrowed
+    UNION ALL
+    SELECT l.conv_id, borrowed + place - h, digest, bytes
+    FROM lent l JOIN placed p ON p.conv_id = l.conv_id AND place > h
+),
+prefixes AS (
+    SELECT conv_id, depth, bytes,
+           string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key,
+           count(*) OVER (PARTITION BY conv_id) AS length
+    FROM rebuilt
+    UNION ALL
+    SELECT conv_id, 0, 0, '', (SELECT count(*) FROM rebuilt r WHERE r.conv_id = l.conv_id) FROM lent l
+),
+nodes AS (
+    SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+    FROM prefixes GROUP BY key, depth
+),
+children AS (SELECT left(key, 64 * (depth::INTEGER - 1)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+above AS (
+    SELECT left(key, 64 * unnest(range(depth::INTEGER + 1))::INTEGER) AS key,
+           (n_children = 0)::BIGINT AS is_leaf, (n_convs - 1) * bytes AS saved
+    FROM counted
+),
+summed AS (SELECT key, sum(is_leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY key)
+SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens,
+       c.ends_sha256
+FROM counted c JOIN summed USING (key) LEFT JOIN nodes p ON c.depth > 0 AND p.key = left(c.key, 64 * (c.depth::INTEGER - 1))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _OP2,
     "op3_exact_dedup": _OP3,
@@ -273,4 +326,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": _OP7,
     "op9_warc": _OP9,
     "op10_url_filters": _OP10,
+    "op12_conversation_trie": _OP12,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lagline.llm import (
     bpe,
+    conversation_trie,
     exact_dedup,
     langid,
     minhash,
@@ -203,6 +204,11 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out, "text"), filters)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations with the totals of its subtree."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -215,4 +221,5 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_url_filters": op10_url_filters,
     "op11_language_id": op11_language_id,
+    "op12_conversation_trie": op12_conversation_trie,
 }
