@@ -11,6 +11,7 @@ from lagline.llm import (
     bpe,
     conversation_trie,
     exact_dedup,
+    hard_negatives,
     langid,
     minhash,
     mixing,
@@ -47,6 +48,9 @@ WEB_SOURCES, BOOK_SOURCES, CODE_SOURCES = 8, 13, 17
 # Fixed value: of so many documents one, by the checksum of its id, teaches nothing.
 HELD_OUT_EVERY = 5
 
+# Every seventh row gets the next of ten labels, every hundredth is an anchor.
+RELABELLED, LABELS, ANCHOR_EVERY = 7, 10, 100
+
 # The derived crawl starts here; a page a minute, visited again a day later.
 CRAWL_START = "2024-01-01 00:00:00"
 PAGE_SECONDS = 60
@@ -209,6 +213,14 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding among all of them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % RELABELLED == 0, (F.col("label") + 1) % LABELS)
+    scaled = hard_negatives.scaled_rows(rows, moved.otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(scaled, F.col("vec_id") % ANCHOR_EVERY == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -222,4 +234,5 @@ QUERIES: dict[str, Query] = {
     "op10_url_filters": op10_url_filters,
     "op11_language_id": op11_language_id,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import check_oracle
-from lagline.llm import conversation_trie, langid, queries
+from lagline.llm import conversation_trie, hard_negatives, langid, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -229,3 +229,111 @@ def test_op12_queue_spills_in_order():
 def test_op12_query_agrees_with_sql(spark):
     connection = check_oracle.open_tables(SMALL)
     assert check_oracle.compare(spark, SMALL, "op12_conversation_trie", connection) == ""
+
+
+# Hard negatives
+
+
+def brute_negatives(rows, k=5):
+    """From plain (vec_id, embedding, label) rows, one per id."""
+    usable = {}
+    for number, vector, label in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        if number is None or label is None or vector is None:
+            continue
+        if any(x is None or not np.isfinite(x) for x in vector):
+            continue
+        if number % 7 == 0:
+            label = (label + 1) % 10
+        whole = [int(np.floor(256.0 * float(x))) for x in vector]
+        usable[number] = min(usable.get(number, (label, whole)), (label, whole))
+
+    def score(a, b):
+        return sum(x * y for x, y in zip(usable[a][1], usable[b][1]))
+
+    out = []
+    for anchor in (n for n in usable if n % 100 == 0):
+        same = [n for n in usable if n != anchor and usable[n][0] == usable[anchor][0]]
+        unlike = [(-score(anchor, n), n) for n in usable if usable[n][0] != usable[anchor][0]]
+        for positive in sorted(same, key=lambda n: (-score(anchor, n), n))[:k]:
+            p = score(anchor, positive)
+            fits = sorted((s, n) for s, n in unlike if 80 * p <= -100 * s <= 100 * p)
+            out += [(anchor, positive, i + 1, n, p, -s) for i, (s, n) in enumerate(fits[:k])]
+    return sorted(out)
+
+
+def mined(spark, rows, **options):
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumn("row", F.lit(1))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = hard_negatives.scaled_rows(frame, moved)
+    found = hard_negatives.hard_negatives(scaled, F.col("vec_id") % 100 == 0, **options)
+    return sorted(map(tuple, found.collect()))
+
+
+def made_vectors(seed, count, width=6):
+    """Clustered vectors, a third of them equal."""
+    source = np.random.default_rng(seed)
+    centres = source.normal(size=(5, width))
+    rows = []
+    for i in range(count):
+        vector = centres[0] if i % 3 == 0 else centres[source.integers(5)] + 0.3 * source.normal(size=width)
+        rows.append((i, [float(x) for x in vector.astype(np.float32)], int(source.integers(4))))
+    return rows
+
+
+ODD_VECTORS = [
+    (700, None, 1), (800, [0.5, 0.25], None), (None, [1.0] * 6, 1), (900, [float("nan")] + [0.1] * 5, 2),
+    (1000, [0.1, None, 0.3, 0.1, 0.1, 0.1], 2), (1100, [float("inf")] * 6, 3), (1200, [], 1), (1300, [0.5, 0.75], 2),
+    (1301, [-0.001] * 6, 3), (1302, [0.0] * 6, 3), (1400, [1.0] * 6, 0), (1400, [0.5] * 6, 0), (1400, [0.5] * 6, 0),
+]
+
+
+@pytest.mark.parametrize("shard_rows,block_rows", [(4_096, 2_048), (150, 3)])
+def test_op13_against_brute_force(spark, shard_rows, block_rows):
+    rows = made_vectors(5, 900) + ODD_VECTORS
+    assert mined(spark, rows, shard_rows=shard_rows, block_rows=block_rows) == brute_negatives(rows)
+
+
+def test_op13_query_against_brute_force(spark):
+    """The whole registered query on whole tables."""
+    for sf_dir in (SMALL, "/root/testdata/sf0.01"):
+        rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+        found = queries.op13_hard_negatives(spark, sf_dir)
+        assert sorted(map(tuple, found.collect())) == brute_negatives(map(tuple, rows.collect()))
+
+
+def test_op13_empty_and_without_anchors(spark):
+    assert mined(spark, []) == []
+    assert mined(spark, [(1, [1.0], 1), (2, [2.0], 1)]) == []
+    assert mined(spark, [(0, [1.0], 1)]) == []
+
+
+def test_op13_scores_beyond_doubles(spark):
+    """Whole-number arithmetic where 53 bits are not enough."""
+    rows = [(i, [200_000.0 + i / 256] * 6, 0 if i % 2 else 1) for i in range(0, 60)]
+    rows = [(n, v, l) for n, v, l in rows if n % 7]
+    rows.append((100, [200_000.0] * 6, 1))
+    assert mined(spark, rows) == brute_negatives([(n, np.float32(v).tolist(), l) for n, v, l in rows])
+
+
+def test_op13_descent_skips_leaves():
+    """Far clusters are not verified, and every node's bound holds."""
+    source = np.random.default_rng(1)
+    centres = source.normal(size=(20, 8)) * 400
+    vectors = np.concatenate([c + source.normal(size=(100, 8)) * 5 for c in centres]).astype(np.int32)
+    arrays = hard_negatives.build(np.arange(2_000), np.zeros(2_000, np.int32), vectors)
+    tree = hard_negatives.CoverTree(arrays)
+    query = vectors[7].astype(np.float64)
+    length = np.sqrt((query**2).sum())
+    middle, slack = tree.centres @ query, length * tree.radius + 0.5
+    scores = tree.vectors @ query
+    for node in range(len(tree.radius)):
+        here = scores[tree.begins[node] : tree.ends[node]]
+        assert here.max() <= middle[node] + slack[node] and here.min() >= middle[node] - slack[node]
+    best = hard_negatives.Best(5)
+
+    def members(begin, end):
+        return scores[begin:end], tree.ids[begin:end]
+
+    leaves = hard_negatives.descend(tree, middle + slack, middle - slack, members, [best])
+    assert [s for s, _ in best.found] == sorted(-scores)[:5]
+    assert leaves < 0.5 * (tree.counts == 0).sum()
