@@ -2,39 +2,53 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 
+from lagline.operators.boosting import BoostingParams, HistogramBoosting
 from lagline.operators.encoding import preprocessing_stages, scaling_stages
 from lagline.schemas import TARGET
 
 SEED = 42
 
 # The hyperparameters of the candidates.
-CANDIDATE_PARAMS = {
+CANDIDATE_PARAMS: dict[str, dict | BoostingParams] = {
     "gbt": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3},
-    "deep_gbt": {
-        "maxIter": 200,
-        "stepSize": 0.05,
-        "maxDepth": 5,
-        "subsamplingRate": 0.8,
-        "featureSubsetStrategy": "0.8",
-    },
-}
-# A depth of 5 has at most 32 leaves, so a limit of 31 leaves adds next to nothing:
-# another name of the same candidate.
-CANDIDATE_PARAMS["leafwise"] = CANDIDATE_PARAMS["deep_gbt"]
+    # Second-order trees, grown by depth, with the usual penalty on leaf weights.
+    "deep_gbt": BoostingParams(
+        iterations=200, rate=0.05, max_depth=5, row_share=0.8, column_share=0.8, l2=1.0,
+        min_hessian=1.0, min_rows=1, seed=SEED,
+    ),
+    # Grown by leaf up to 31 leaves; no penalty, but leaves of 20 rows or more.
+    "leafwise": BoostingParams(
+        iterations=200, rate=0.05, max_depth=5, max_leaves=31, row_share=0.8, column_share=0.8,
+        l2=0.0, min_hessian=0.001, min_rows=20, seed=SEED,
+    ),
+}
 DEFAULT_CANDIDATES = ("gbt", "deep_gbt")
 
 
-def candidate(name: str, max_iter: int | None = None, label: str = TARGET) -> Pipeline:
-    """An unfitted pipeline by name. ``max_iter`` shortens training."""
+def settings_of(name: str, max_iter: int | None = None) -> dict | BoostingParams:
+    """Parameters of a candidate. ``max_iter`` shortens training."""
     if name not in CANDIDATE_PARAMS:
         raise ValueError(f"unknown model {name!r}, expected one of {sorted(CANDIDATE_PARAMS)}")
-    params = dict(CANDIDATE_PARAMS[name])
-    if max_iter is not None:
-        params["maxIter"] = max_iter
-    trees = GBTClassifier(labelCol=label, featuresCol="features", seed=SEED, **params)
+    settings = CANDIDATE_PARAMS[name]
+    if max_iter is None:
+        return settings
+    if isinstance(settings, BoostingParams):
+        return replace(settings, iterations=max_iter)
+    return settings | {"maxIter": max_iter}
+
+
+def candidate(name: str, max_iter: int | None = None, label: str = TARGET) -> Pipeline:
+    """An unfitted pipeline by name. ``max_iter`` shortens training."""
+    settings = settings_of(name, max_iter)
+    if isinstance(settings, BoostingParams):
+        trees = HistogramBoosting(settings, label)
+    else:
+        trees = GBTClassifier(labelCol=label, featuresCol="features", seed=SEED, **settings)
     return Pipeline(stages=[*preprocessing_stages(impute=True), trees])
 
 

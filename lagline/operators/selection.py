@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagline.functions.scores import positive_probability
-from lagline.operators.candidates import DEFAULT_CANDIDATES, candidate
+from lagline.operators.boosting import (
+    BoostingParams,
+    Run,
+    boost,
+    category_sizes,
+    layout_of,
+    spark_model,
+)
+from lagline.operators.candidates import DEFAULT_CANDIDATES, candidate, settings_of
 from lagline.operators.encoding import encoder
 from lagline.operators.metrics import (
     best_candidate,
@@ -55,34 +63,101 @@ def out_of_fold_runs(
     parallelism: int = 3,
     key: str = ORDER_KEY,
 ) -> dict[str, DataFrame]:
-    """Out-of-fold scores per candidate, as written tables.
+    """Out-of-fold scores per candidate, as written tables."""
+    return fit_candidates(folded, candidates, folds, max_iter, parallelism, key, final=False)[0]
+
+
+def fit_candidates(
+    folded: DataFrame,
+    candidates: tuple[str, ...] = DEFAULT_CANDIDATES,
+    folds: int = 3,
+    max_iter: int | None = None,
+    parallelism: int = 3,
+    key: str = ORDER_KEY,
+    final: bool = True,
+) -> tuple[dict[str, DataFrame], dict[str, PipelineModel]]:
+    """Out-of-fold scores per candidate, as written tables, and the models of all rows.
 
-    A fold is encoded once and its vectors serve all candidates. The folds are
-    independent Spark jobs, so they are submitted together and the cluster's
-    scheduler interleaves them.
+    Histogram candidates grow all their folds, and the model of all rows, in the same
+    passes. The others are one Spark job after another per fold; folds are independent
+    and submitted together, next to the histogram passes.
     """
+    boosted = tuple(n for n in candidates if isinstance(settings_of(n), BoostingParams))
+    others = tuple(n for n in candidates if n not in boosted)
     spark = folded.sparkSession
+    named = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=parallelism + 1) as pool:
+        together = pool.submit(named(_boosted_runs), folded, boosted, folds, max_iter, key, final)
+        parts = [pool.submit(named(_one_fold), folded, others, k, max_iter, key) for k in range(folds)]
+        whole = {n: pool.submit(named(candidate(n, max_iter).fit), folded) for n in others if final}
+        scores, models = together.result()
+        for name in others:
+            scores[name] = union_all([part.result()[name] for part in parts])
+        models |= {name: fitted.result() for name, fitted in whole.items()}
+    return {name: scores[name] for name in candidates}, models
+
+
+def _one_fold(
+    folded: DataFrame, candidates: tuple[str, ...], fold: int, max_iter: int | None, key: str
+) -> dict[str, DataFrame]:
+    """Scores of one fold by models of the others; vectors are encoded once for all candidates."""
+    if not candidates:
+        return {}
+    rest, held_out = fold_parts(folded, fold)
+    encoding = encoder(impute=True).fit(rest)
+    vectors = encoding.transform(rest).select(TARGET, "features").persist()
+    try:
+        scored = {}
+        for name in candidates:
+            trees = candidate(name, max_iter).getStages()[-1].fit(vectors)
+            rows = with_probability(trees, encoding.transform(held_out))
+            scored[name] = save_dataset(
+                rows.select(key, TARGET, SCORE).withColumn("fold", F.lit(fold)),
+                scratch_path(folded.sparkSession, "out-of-fold"),
+            )
+        return scored
+    finally:
+        vectors.unpersist()
+
+
+def _boosted_runs(
+    folded: DataFrame, candidates: tuple[str, ...], folds: int, max_iter: int | None, key: str, final: bool
+) -> tuple[dict[str, DataFrame], dict[str, PipelineModel]]:
+    """Scores and final models of the histogram candidates out of one set of passes.
 
-    def one_fold(fold: int) -> dict[str, DataFrame]:
-        others, held_out = fold_parts(folded, fold)
-        encoding = encoder(impute=True).fit(others)
-        vectors = encoding.transform(others).select(TARGET, "features").persist()
-        try:
-            scored = {}
-            for name in candidates:
-                trees = candidate(name, max_iter).getStages()[-1].fit(vectors)
-                rows = with_probability(trees, encoding.transform(held_out))
-                scored[name] = save_dataset(
-                    rows.select(key, TARGET, SCORE).withColumn("fold", F.lit(fold)),
-                    scratch_path(spark, "out-of-fold"),
-                )
-            return scored
-        finally:
-            vectors.unpersist()
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        parts = list(pool.map(inheritable_thread_target(spark)(one_fold), range(folds)))
-    return {name: union_all([part[name] for part in parts]) for name in candidates}
+    Bins and category slots come from all rows given, without their labels; they are the
+    same for every fold.
+    """
+    if not candidates:
+        return {}, {}
+    spark = folded.sparkSession
+    encoding = encoder(impute=True).fit(folded)
+    encoded = encoding.transform(folded)
+    layout = layout_of(encoded, category_sizes(encoded))
+    left_out = [*range(folds), *([None] if final else [])]
+    runs = [Run(settings_of(name, max_iter), fold) for name in candidates for fold in left_out]
+    grown = boost(encoded, layout, runs, key=key, fold="fold")
+    try:
+        margins = save_dataset(
+            grown.margins(spark, folded.schema[key].dataType.simpleString()),
+            scratch_path(spark, "margins"),
+        )
+    finally:
+        grown.blocks.unpersist()
+    scores, models = {}, {}
+    for position, name in enumerate(candidates):
+        own = F.element_at("margins", position * len(left_out) + F.col("fold") + 1)
+        scores[name] = margins.select(
+            F.col("key").alias(key),
+            F.col("label").alias(TARGET),
+            (1 / (1 + F.exp(-own))).alias(SCORE),
+            "fold",
+        )
+        if final:
+            run = position * len(left_out) + folds
+            trees = spark_model(spark, layout, runs[run], grown.bases[run], grown.trees[run])
+            models[name] = PipelineModel([*encoding.stages, trees])
+    return scores, models
 
 
 def cross_validation_results(

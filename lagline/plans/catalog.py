@@ -36,7 +36,7 @@ from lagline.operators import (
     selection,
     sets,
 )
-from lagline.operators.candidates import candidate, logistic_candidate
+from lagline.operators.candidates import DEFAULT_CANDIDATES, logistic_candidate
 from lagline.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 from lagline.session import scratch_path
 from lagline.sources import adapter, files, models
@@ -46,6 +46,8 @@ QUERIES: dict[str, Query] = {}
 
 PROFILED = [*NUMERIC_FEATURES, "customer_state", "purchase_month"]
 MONEY = ["total_price", "total_freight"]
+# Fixed value: orders drawn for the attribution plots.
+SHAP_SAMPLE = 2_000
 WEIGHTS = {
     "item_count": -8,
     "seller_count": 3,
@@ -657,14 +659,23 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sampling.split_data(_silver(spark, sf_dir))
 
 
-def _fold_scores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Out-of-fold scores of both candidates at their full settings, made once."""
+ALL_CANDIDATES = (*DEFAULT_CANDIDATES, "leafwise")
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, PipelineModel]]:
+    """Out-of-fold scores and final models of all candidates at their full settings, made once."""
 
-    def build() -> dict[str, DataFrame]:
+    def build() -> tuple[dict[str, DataFrame], dict[str, PipelineModel]]:
         train, _ = _split(spark, sf_dir)
-        return selection.out_of_fold_runs(sampling.assign_folds(train))
+        return selection.fit_candidates(sampling.assign_folds(train), ALL_CANDIDATES)
+
+    return _shared(spark, sf_dir, "fitted candidates", build)
+
 
-    return _shared(spark, sf_dir, "fold scores", build)
+def _fold_scores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Out-of-fold scores of the competing candidates."""
+    scores, _ = _fitted(spark, sf_dir)
+    return {name: scores[name] for name in DEFAULT_CANDIDATES}
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -677,13 +688,8 @@ def _winner(spark: SparkSession, sf_dir: str) -> tuple[str, float]:
 
 
 def _trained(spark: SparkSession, sf_dir: str, name: str) -> PipelineModel:
-    """A candidate fitted on all training rows at its full settings, made once."""
-
-    def build() -> PipelineModel:
-        train, _ = _split(spark, sf_dir)
-        return candidate(name).fit(train.persist())
-
-    return _shared(spark, sf_dir, f"trained {name}", build)
+    """A candidate fitted on all training rows at its full settings."""
+    return _fitted(spark, sf_dir)[1][name]
 
 
 def _store(spark: SparkSession, sf_dir: str) -> str:
@@ -797,8 +803,7 @@ def deep_gbt_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def leafwise_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Another name of the deep candidate, so the same fitted model."""
-    return _fitted_scores(spark, sf_dir, "deep_gbt")
+    return _fitted_scores(spark, sf_dir, "leafwise")
 
 
 @query
@@ -952,8 +957,9 @@ def score_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shap_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 2,000 orders as the model sees them."""
     model = models.load_model(_store(spark, sf_dir))
-    return _vector_summary(attribution.shap_input(model, _silver(spark, sf_dir)))
+    return _vector_summary(attribution.shap_input(model, _silver(spark, sf_dir), SHAP_SAMPLE))
 
 
 @query
