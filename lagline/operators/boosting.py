@@ -573,6 +573,49 @@ def boost(
     return Boosted(layout, runs, bases, trees, blocks)
 
 
+def first_histograms(
+    encoded: DataFrame,
+    layout: Layout,
+    runs: list[Run],
+    label: str = TARGET,
+    key: str = ORDER_KEY,
+    fold: str | None = None,
+) -> DataFrame:
+    """fold, feature, bin and the sums that the first tree of each run starts from."""
+    spark = encoded.sparkSession
+    rows = packed_blocks(encoded, layout, label, key, fold)
+    bases = base_margins(rows, runs)
+    blocks = rows.map(lambda block: _started(block, bases))
+    root = _Walk(*(np.array([x]) for x in (-1, 0, False, 0, 0)), depth=0)
+    found = histograms(blocks, layout, runs, 0, [root] * len(runs), [[0]] * len(runs))
+    features = [name.replace(IMPUTED, "").removesuffix("_index") for name in layout.columns]
+    cells = [
+        (run.fold, features[column], b, *[int(x) for x in sums[:, 0, layout.offsets[column] + b]])
+        for run, sums in zip(runs, found)
+        for column, size in enumerate(layout.bins)
+        for b in range(size)
+    ]
+    return spark.createDataFrame(
+        cells, "fold int, feature string, bin int, grad bigint, hess bigint, order_count bigint"
+    )
+
+
+def tree_rows(layout: Layout, tree: Tree, names: list[str]) -> list[tuple]:
+    """path (L and R turns from the root), feature, threshold, gain, rows, value of every node."""
+    candidates = layout.candidates()
+    paths = {0: ""}
+    rows = []
+    for number, (node, value) in enumerate(zip(tree.nodes, tree.values)):
+        feature = threshold = gain = None
+        if node.children:
+            for child, turn in zip(node.children, "LR"):
+                paths[child] = paths[number] + turn
+            feature = names[candidates["slot"][node.split]]
+            threshold, gain = float(candidates["threshold"][node.split]), node.gain
+        rows.append((paths[number], feature, threshold, gain, node.rows, value))
+    return rows
+
+
 def _written(rows: list[tuple], schema: str, spark: SparkSession, path: str) -> None:
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
 

@@ -82,12 +82,13 @@ def fit_candidates(
     passes. The others are one Spark job after another per fold; folds are independent
     and submitted together, next to the histogram passes.
     """
-    boosted = tuple(n for n in candidates if isinstance(settings_of(n), BoostingParams))
+    settings = {name: settings_of(name, max_iter) for name in candidates}
+    boosted = {n: found for n, found in settings.items() if isinstance(found, BoostingParams)}
     others = tuple(n for n in candidates if n not in boosted)
     spark = folded.sparkSession
     named = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=parallelism + 1) as pool:
-        together = pool.submit(named(_boosted_runs), folded, boosted, folds, max_iter, key, final)
+        together = pool.submit(named(fit_boosted), folded, boosted, folds, key, final)
         parts = [pool.submit(named(_one_fold), folded, others, k, max_iter, key) for k in range(folds)]
         whole = {n: pool.submit(named(candidate(n, max_iter).fit), folded) for n in others if final}
         scores, models = together.result()
@@ -120,22 +121,27 @@ def _one_fold(
         vectors.unpersist()
 
 
-def _boosted_runs(
-    folded: DataFrame, candidates: tuple[str, ...], folds: int, max_iter: int | None, key: str, final: bool
+def fit_boosted(
+    folded: DataFrame,
+    settings: dict[str, BoostingParams],
+    folds: int = 3,
+    key: str = ORDER_KEY,
+    final: bool = True,
+    cuts: dict[str, list[float]] | None = None,
 ) -> tuple[dict[str, DataFrame], dict[str, PipelineModel]]:
     """Scores and final models of the histogram candidates out of one set of passes.
 
     Bins and category slots come from all rows given, without their labels; they are the
-    same for every fold.
+    same for every fold. ``cuts`` names the cut points instead of taking quantiles.
     """
-    if not candidates:
+    if not settings:
         return {}, {}
     spark = folded.sparkSession
     encoding = encoder(impute=True).fit(folded)
     encoded = encoding.transform(folded)
-    layout = layout_of(encoded, category_sizes(encoded))
+    layout = layout_of(encoded, category_sizes(encoded), cuts)
     left_out = [*range(folds), *([None] if final else [])]
-    runs = [Run(settings_of(name, max_iter), fold) for name in candidates for fold in left_out]
+    runs = [Run(params, fold) for params in settings.values() for fold in left_out]
     grown = boost(encoded, layout, runs, key=key, fold="fold")
     try:
         margins = save_dataset(
@@ -145,7 +151,7 @@ def _boosted_runs(
     finally:
         grown.blocks.unpersist()
     scores, models = {}, {}
-    for position, name in enumerate(candidates):
+    for position, name in enumerate(settings):
         own = F.element_at("margins", position * len(left_out) + F.col("fold") + 1)
         scores[name] = margins.select(
             F.col("key").alias(key),

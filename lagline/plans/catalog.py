@@ -24,6 +24,7 @@ from lagline.functions.scores import distance_from, threshold_label
 from lagline.operators import (
     active,
     attribution,
+    boosting,
     encoding,
     joins,
     metrics,
@@ -36,7 +37,8 @@ from lagline.operators import (
     selection,
     sets,
 )
-from lagline.operators.candidates import DEFAULT_CANDIDATES, logistic_candidate
+from lagline.operators.boosting import BoostingParams
+from lagline.operators.candidates import DEFAULT_CANDIDATES, logistic_candidate, settings_of
 from lagline.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 from lagline.session import scratch_path
 from lagline.sources import adapter, files, models
@@ -46,6 +48,15 @@ QUERIES: dict[str, Query] = {}
 
 PROFILED = [*NUMERIC_FEATURES, "customer_state", "purchase_month"]
 MONEY = ["total_price", "total_freight"]
+# Cut points of the models that are small enough for SQL.
+SMALL_CUTS = {
+    "promised_days": [365.0, 450.0, 550.0, 640.0, 730.0, 820.0, 910.0, 1000.0],
+    "item_count": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0],
+    "seller_count": [1.0, 2.0, 3.0, 4.0, 5.0],
+    "total_price": [50_000.0, 100_000.0, 150_000.0, 200_000.0, 300_000.0],
+    "total_freight": [1_000.0, 3_000.0, 6_000.0, 10_000.0],
+}
+SMALL_CANDIDATES = ("deep_gbt", "leafwise")
 # Fixed value: orders drawn for the attribution plots.
 SHAP_SAMPLE = 2_000
 WEIGHTS = {
@@ -905,6 +916,118 @@ def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Models small enough for SQL: one tree, fixed cuts, every row and column
+
+
+def _small_settings(depth: int, leaves: int | None) -> dict[str, BoostingParams]:
+    """Both histogram candidates with one tree of all rows and columns."""
+    return {
+        name: replace(
+            settings_of(name, 1), max_depth=depth, row_share=1.0, column_share=1.0,
+            max_leaves=leaves if name == "leafwise" else None,
+        )
+        for name in SMALL_CANDIDATES
+    }
+
+
+def _stumps(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, PipelineModel]]:
+    """Out-of-fold scores and final models of the one-split candidates."""
+
+    def build() -> tuple[dict[str, DataFrame], dict[str, PipelineModel]]:
+        train, _ = _split(spark, sf_dir)
+        folded = sampling.assign_folds(train)
+        return selection.fit_boosted(folded, _small_settings(1, 2), cuts=SMALL_CUTS)
+
+    return _shared(spark, sf_dir, "stumps", build)
+
+
+def _stump_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.candidate_results(_stumps(spark, sf_dir)[0])
+
+
+def _stump_winner(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, str, float]:
+    best = metrics.best_candidate(_stump_results(spark, sf_dir)).first()
+    return _stumps(spark, sf_dir)[1][best["model_name"]], best["model_name"], best["threshold"]
+
+
+@query
+def boosting_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient, hessian and count per feature bin, for the first tree of each fold's run."""
+    train, _ = _split(spark, sf_dir)
+    folded = sampling.assign_folds(train)
+    encoded = encoding.encoder(impute=True).fit(folded).transform(folded)
+    layout = boosting.layout_of(encoded, boosting.category_sizes(encoded), SMALL_CUTS)
+    runs = [boosting.Run(_small_settings(1, 2)["deep_gbt"], fold) for fold in (0, 1, 2)]
+    return boosting.first_histograms(encoded, layout, runs, fold="fold")
+
+
+@query
+def boosted_first_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the first tree of both candidates: two levels by depth, three leaves by gain."""
+    train, _ = _split(spark, sf_dir)
+    encoded = encoding.encoder(impute=True).fit(train).transform(train)
+    layout = boosting.layout_of(encoded, boosting.category_sizes(encoded), SMALL_CUTS)
+    settings = _small_settings(2, 3)
+    grown = boosting.boost(encoded, layout, [boosting.Run(p) for p in settings.values()])
+    names = encoding.vector_names(encoded)
+    nodes = [
+        (name, *row) for name, trees in zip(settings, grown.trees)
+        for row in boosting.tree_rows(layout, trees[0], names)
+    ]
+    grown.blocks.unpersist()
+    table = spark.createDataFrame(
+        nodes,
+        "model_name string, path string, feature string, threshold double, gain double, "
+        "order_count bigint, value double",
+    )
+    return _rounded(table, ["gain", "value"], 6)
+
+
+@query
+def cross_validate_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold and out-of-fold F1 of the one-split candidates."""
+    return _rounded(_stump_results(spark, sf_dir), ["f1"], 9)
+
+
+@query
+def out_of_fold_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every training order's score by the model that did not see it, per candidate."""
+    scores, _ = _stumps(spark, sf_dir)
+    frames = [frame.withColumn("model_name", F.lit(name)) for name, frame in scores.items()]
+    return _rounded(sets.union_all(frames), ["probability_positive"], 9)
+
+
+@query
+def evaluate_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, F1 and ROC area of the winning one-split model on the test part."""
+    model, name, threshold = _stump_winner(spark, sf_dir)
+    _, test = _split(spark, sf_dir)
+    found = selection.evaluate_model(model, name, test, threshold)
+    return _rounded(selection.evaluation_frame(spark, found), ["precision", "recall", "f1", "roc_auc"], 9)
+
+
+@query
+def predict_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and label of every test order by the winning one-split model."""
+    model, _, threshold = _stump_winner(spark, sf_dir)
+    _, test = _split(spark, sf_dir)
+    scored = scoring.predict(model, test, threshold)
+    return _rounded(
+        scored.select("order_id", TARGET, "probability_positive", "prediction"), ["probability_positive"], 9
+    )
+
+
+@query
+def shap_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contribution of every source column to the log-odds of the winning one-split model."""
+    model, _, _ = _stump_winner(spark, sf_dir)
+    path = scratch_path(spark, "stump")
+    model.write().save(path)
+    vectors = attribution.shap_input(model, _silver(spark, sf_dir))
+    arrays = attribution.shap_arrays(vectors, attribution.read_trees(spark, path))
+    return _rounded(attribution.by_source(arrays, encoding.vector_names(vectors)), ["contribution"], 9)
+
+
 @query
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _scored(spark, sf_dir).withColumn("prediction", threshold_label(0.5))

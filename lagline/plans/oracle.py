@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from lagline.plans.catalog import PROFILED, WEIGHTS
+from lagline.plans.catalog import PROFILED, SMALL_CUTS, WEIGHTS
 from lagline.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, ORDER_STATUSES
 from lagline.sources.adapter import PROMISE_BY_PRIORITY, WIDE_EDGES, WIDE_LABELS
 
@@ -733,6 +733,215 @@ _add(
       THEN 1 ELSE 0 END) AS accuracy FROM scored""",
 )
 
+# Histogram boosting: models of one tree, grown by the same sums
+
+_UNIT = "16777216.0::DOUBLE"
+_CATEGORY = {name: f"CAST({name} AS VARCHAR)" for name in CATEGORICAL_FEATURES}
+_CUT_ROWS = ", ".join(
+    f"({slot}, '{name}', {cut}::DOUBLE, {b})"
+    for slot, name in enumerate(NUMERIC_FEATURES)
+    for b, cut in enumerate(SMALL_CUTS[name])
+)
+_LONG = " UNION ALL ".join(
+    [f"SELECT f, order_id, g, h, '{n}' AS column_name, CAST({n} AS DOUBLE) AS x, NULL AS v FROM seen"
+     for n in NUMERIC_FEATURES]
+    + [f"SELECT f, order_id, g, h, '{n}', NULL, {text} FROM seen" for n, text in _CATEGORY.items()]
+)
+# Whether a row goes left at the split in the same row of the join.
+_LEFT = (
+    "CASE column_name "
+    + " ".join(f"WHEN '{n}' THEN {n} <= threshold" for n in NUMERIC_FEATURES)
+    + " ".join(f" WHEN '{n}' THEN coalesce({text} <> category, true)" for n, text in _CATEGORY.items())
+    + " END"
+)
+_SLOPES = (
+    _TRAIN.replace("model_input", "split").strip().removesuffix(",")
+    + f""",
+    {_index("train")},
+    cuts(slot, column_name, threshold, bin) AS (VALUES {_CUT_ROWS}),
+    firsts(column_name, slot) AS (
+      {" UNION ALL ".join(f"SELECT '{n}', {_offset(n)}" for n in CATEGORICAL_FEATURES)}),
+    options AS (
+      SELECT slot, column_name, threshold, bin, NULL AS category FROM cuts UNION ALL
+      SELECT slot + value_index, column_name, 0.5::DOUBLE, value_index, value
+      FROM category JOIN firsts USING (column_name)),
+    base_rates AS (
+      SELECT f, sum(is_late) / count(*) AS share
+      FROM (SELECT unnest([0, 1, 2, -1]) AS f) JOIN train ON fold <> f GROUP BY f),
+    started AS (
+      SELECT f, ln(share / (1 - share)) AS margin, 1 / (1 + exp(-ln(share / (1 - share)))) AS p FROM base_rates),
+    seen AS (
+      SELECT f, t.*, CAST(round((p - is_late) * {_UNIT}) AS BIGINT) AS g,
+             CAST(round(p * (1 - p) * {_UNIT}) AS BIGINT) AS h
+      FROM started JOIN train t ON fold <> f),
+    long AS ({_LONG}),
+    families(model_name, candidate_order, l2, min_hessian, min_rows) AS (
+      VALUES ('deep_gbt', 0, 1.0::DOUBLE, 1.0::DOUBLE, 1), ('leafwise', 1, 0.0::DOUBLE, 0.001::DOUBLE, 20))"""
+)
+
+
+def _term(g: str, h: str) -> str:
+    return f"({g} / {_UNIT}) * ({g} / {_UNIT}) / ({h} / {_UNIT} + l2)"
+
+
+def _best_split(name: str, rows: str) -> str:
+    """The split with the largest gain per family, run and node of ``rows``."""
+    return f"""
+    {name}_sums AS (
+      SELECT f, node, slot, column_name, threshold, category,
+        coalesce(sum(g) FILTER (goes_left), 0) AS gl, coalesce(sum(h) FILTER (goes_left), 0) AS hl,
+        count(*) FILTER (goes_left) AS nl, sum(g) AS g, sum(h) AS h, count(*) AS n
+      FROM (SELECT r.*, o.slot, o.threshold, o.category,
+                   CASE WHEN o.category IS NULL THEN x <= o.threshold ELSE v <> o.category END AS goes_left
+            FROM {rows} r JOIN options o USING (column_name))
+      GROUP BY ALL),
+    {name}_gains AS (
+      SELECT *, {_term("gl", "hl")} + {_term("(g - gl)", "(h - hl)")} - {_term("g", "h")} AS gain
+      FROM {name}_sums, families
+      WHERE hl >= min_hessian * {_UNIT} AND h - hl >= min_hessian * {_UNIT}
+        AND nl >= min_rows AND n - nl >= min_rows),
+    {name} AS (
+      SELECT * FROM {name}_gains WHERE gain > 1e-6
+      QUALIFY row_number() OVER (PARTITION BY model_name, f, node ORDER BY gain DESC, slot, threshold) = 1)"""
+
+
+_STUMPS = (
+    _SLOPES
+    + ", roots AS (SELECT *, '' AS node FROM long), "
+    + _best_split("split1", "roots")
+    + f""",
+    stumps AS (
+      SELECT *, margin - gl / {_UNIT} / (hl / {_UNIT} + l2) * 0.05::DOUBLE AS left_margin,
+             margin - (g - gl) / {_UNIT} / ((h - hl) / {_UNIT} + l2) * 0.05::DOUBLE AS right_margin
+      FROM split1 JOIN started USING (f)),
+    held_out AS (
+      SELECT model_name, candidate_order, t.order_id, t.is_late, t.fold,
+             1 / (1 + exp(-CASE WHEN {_LEFT} THEN left_margin ELSE right_margin END)) AS probability_positive
+      FROM train t JOIN stumps s ON s.f = t.fold),
+    stump_counts AS (
+      SELECT model_name, candidate_order, i / 100.0::DOUBLE AS threshold,
+        count(*) FILTER (is_late = 1 AND probability_positive >= i / 100.0::DOUBLE) AS tp,
+        count(*) FILTER (is_late = 0 AND probability_positive >= i / 100.0::DOUBLE) AS fp,
+        count(*) FILTER (is_late = 1 AND NOT probability_positive >= i / 100.0::DOUBLE) AS fn
+      FROM held_out, range(5, 51) AS t(i) GROUP BY ALL),
+    stump_results AS (
+      SELECT CAST(candidate_order AS INTEGER) AS candidate_order, model_name, threshold, {_F1} AS f1
+      FROM stump_counts
+      QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY {_F1} DESC, threshold) = 1),
+    winner AS (SELECT * FROM stump_results ORDER BY f1 DESC, candidate_order LIMIT 1),
+    chosen AS (SELECT s.*, w.threshold AS cut FROM stumps s JOIN winner w USING (model_name) WHERE s.f = -1),
+    tested AS (
+      SELECT t.order_id, t.is_late, cut, model_name,
+             1 / (1 + exp(-CASE WHEN {_LEFT} THEN left_margin ELSE right_margin END)) AS probability_positive
+      FROM split t, chosen WHERE NOT in_train)"""
+)
+_add(
+    "boosting_histogram",
+    """SELECT CAST(f AS INTEGER) AS fold, column_name AS feature, CAST(bin AS INTEGER) AS bin,
+      CAST(coalesce(sum(g), 0) AS BIGINT) AS grad, CAST(coalesce(sum(h), 0) AS BIGINT) AS hess,
+      count(order_id) AS order_count
+    FROM all_bins LEFT JOIN binned USING (f, column_name, bin) GROUP BY ALL""",
+    _SLOPES
+    + """, binned AS (
+      SELECT l.*, CASE WHEN l.v IS NULL
+          THEN (SELECT count(*) FROM cuts c WHERE c.column_name = l.column_name AND c.threshold < l.x)
+          ELSE (SELECT value_index FROM category c WHERE c.column_name = l.column_name AND c.value = l.v)
+        END AS bin
+      FROM long l WHERE f >= 0),
+    all_bins AS (
+      SELECT f, column_name, unnest(range(bins)) AS bin
+      FROM (SELECT unnest([0, 1, 2]) AS f),
+           (SELECT column_name, count(*) + 1 AS bins FROM options GROUP BY column_name))""",
+)
+
+
+def _path_rows(split: str, path: str) -> str:
+    """Both children of a split as nodes."""
+    return " UNION ALL ".join(
+        f"SELECT model_name, {path} || '{turn}' AS path, {g} AS g, {h} AS h, {n} AS n, l2 FROM {split}"
+        for turn, g, h, n in (("L", "gl", "hl", "nl"), ("R", "g - gl", "h - hl", "n - nl"))
+    )
+
+
+_add(
+    "boosted_first_trees",
+    f"""SELECT model_name, path, feature, threshold, round(gain, 6) AS gain,
+      CAST(n AS BIGINT) AS order_count,
+      round(-(n_g / {_UNIT}) / (n_h / {_UNIT} + l2) * 0.05::DOUBLE, 6) + {_ZERO} AS value
+    FROM (SELECT a.model_name, a.path, a.g AS n_g, a.h AS n_h, a.n, a.l2, s.gain, s.threshold,
+                 coalesce(s.column_name || '_ohe_' || s.category, s.column_name) AS feature
+          FROM nodes a LEFT JOIN splits s ON s.model_name = a.model_name AND s.node = a.path)""",
+    _SLOPES
+    + ", roots AS (SELECT *, '' AS node FROM long WHERE f = -1), "
+    + _best_split("split1", "roots")
+    + f""",
+    turns AS (
+      SELECT model_name, t.order_id, CASE WHEN {_LEFT} THEN 'L' ELSE 'R' END AS side
+      FROM train t, split1),
+    halves AS (
+      SELECT l.* EXCLUDE (node), model_name || '/' || side AS node
+      FROM roots l JOIN turns USING (order_id)), """
+    + _best_split("split2", "halves")
+    + """,
+    seconds AS (
+      SELECT * REPLACE (split_part(node, '/', 2) AS node) FROM split2
+      WHERE split_part(node, '/', 1) = model_name),
+    grown AS (
+      SELECT * FROM seconds WHERE model_name = 'deep_gbt' UNION ALL
+      (SELECT * FROM seconds WHERE model_name = 'leafwise' ORDER BY gain DESC, node LIMIT 1)),
+    splits AS (SELECT * FROM split1 UNION ALL SELECT * FROM grown),
+    nodes AS (
+      SELECT model_name, '' AS path, g, h, n, l2 FROM split1 UNION ALL """
+    + _path_rows("split1", "''")
+    + " UNION ALL "
+    + _path_rows("grown", "node")
+    + ")",
+)
+_add(
+    "cross_validate_stumps",
+    "SELECT candidate_order, model_name, threshold, round(f1, 9) AS f1 FROM stump_results",
+    _STUMPS,
+)
+_add(
+    "out_of_fold_stumps",
+    """SELECT model_name, order_id, is_late, fold, round(probability_positive, 9) AS probability_positive
+    FROM held_out""",
+    _STUMPS,
+)
+_add(
+    "evaluate_stump",
+    f"""SELECT model_name AS model, cut AS threshold,
+      round(CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fp) END, 9) AS precision,
+      round(CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fn) END, 9) AS recall,
+      round({_F1}, 9) AS f1, round(area, 9) AS roc_auc
+    FROM (SELECT model_name, cut,
+            count(*) FILTER (is_late = 1 AND probability_positive >= cut) AS tp,
+            count(*) FILTER (is_late = 0 AND probability_positive >= cut) AS fp,
+            count(*) FILTER (is_late = 1 AND NOT probability_positive >= cut) AS fn
+          FROM tested GROUP BY ALL),
+      (SELECT CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / (2 * CAST(sum(pos) AS DOUBLE) * sum(neg)) AS area
+       FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY probability_positive
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+             FROM (SELECT probability_positive, count(*) FILTER (is_late = 1) AS pos,
+                     count(*) FILTER (is_late = 0) AS neg FROM tested GROUP BY 1)))""",
+    _STUMPS,
+)
+_add(
+    "predict_stump",
+    """SELECT order_id, is_late, round(probability_positive, 9) AS probability_positive,
+      CAST(probability_positive >= cut AS INTEGER) AS prediction FROM tested""",
+    _STUMPS,
+)
+_add(
+    "shap_stump",
+    f"""SELECT order_id, feature, round(CASE WHEN feature = column_name
+        THEN CASE WHEN goes_left THEN (left_margin - right_margin) * (n - nl) / n
+             ELSE (right_margin - left_margin) * nl / n END ELSE 0 END, 9) + {_ZERO} AS contribution
+    FROM (SELECT order_id, {_LEFT} AS goes_left, chosen.* EXCLUDE (f) FROM features, chosen),
+      (SELECT unnest([{", ".join(f"'{n}'" for n in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES))}]) AS feature)""",
+    _STUMPS,
+)
+
 # Attribution
 
 _LINEAR = (
