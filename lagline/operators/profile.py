@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagline.operators.ordered import exact_quantiles
+from lagline.operators.ordered import quantiles_of, value_counts
+from lagline.operators.sketches import QUARTILES, column_sketches, profile_from_sketches
+from lagline.session import scratch_path
+from lagline.sources.files import save_dataset
 
-QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+# Counts kept per column to find frequent values, and how many buckets are looked at first.
+BUCKETS = 65_536
+GUESS = 4
 # Types whose values stay apart when read as doubles.
 EXACT_AS_DOUBLE = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
 
@@ -26,133 +31,183 @@ def _long(entries: list[Column]) -> Column:
 def describe(data: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """count, mean, sample standard deviation, min, quartiles and max in one row.
 
-    Quartiles are exact by default, from range-wise counts. ``approximate``
-    replaces them with a sketch and saves the extra pass.
+    Quartiles are exact by default. The data are read once, for the counts per value;
+    all figures come from these. ``approximate`` takes quartiles from a sketch instead
+    and keeps no counts.
     """
-    value = F.col(column).cast("double")
-    summary = [
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    ]
     order = ["count", "mean", "std", "min", *QUARTILES, "max"]
     if approximate:
-        sketch = F.percentile_approx(value, list(QUARTILES.values()), 10_000)
-        parts = data.agg(*summary, sketch.alias("sketch"))
+        value = F.col(column).cast("double")
+        parts = data.agg(
+            F.count(value).alias("count"),
+            F.avg(value).alias("mean"),
+            F.stddev_samp(value).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.percentile_approx(value, list(QUARTILES.values()), 10_000).alias("sketch"),
+        )
         return parts.withColumns(
             {name: F.col("sketch")[i] for i, name in enumerate(QUARTILES)}
         ).select(*order)
-    quartiles = exact_quantiles(data, [column], QUARTILES).select(F.struct(*QUARTILES.keys()))
-    return (
-        data.agg(*summary)
-        .withColumn("quartiles", quartiles.scalar())
-        .select(*[F.col(f"quartiles.{n}").alias(n) if n in QUARTILES else F.col(n) for n in order])
+    counts = value_counts(data, [column], {"n": F.lit(1)})
+    found = _moments(counts).join(F.broadcast(quantiles_of(counts, QUARTILES)), "column", "left")
+    # A row even where there is no value at all.
+    one = data.sparkSession.createDataFrame([(column,)], "column string")
+    return one.join(found, "column", "left").select(
+        F.coalesce("count", F.lit(0)).alias("count"), *order[1:]
+    )
+
+
+def _moments(counts: DataFrame) -> DataFrame:
+    """column, count, mean, std, min and max out of counts per value.
+
+    Squares are taken around the mean, so large numbers that lie close together keep
+    their deviation.
+    """
+    sums = counts.groupBy("column").agg(
+        F.sum("n").alias("count"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+    )
+    # One row per column.
+    around = counts.join(F.broadcast(sums.select("column", "mean")), "column").groupBy("column").agg(
+        F.sum((F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")) * F.col("n")).alias("squares")
+    )
+    return sums.join(F.broadcast(around), "column").select(
+        "column",
+        "count",
+        "mean",
+        F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1))).alias("std"),
+        "min",
+        "max",
+    )
+
+
+def cell_counts(data: DataFrame) -> DataFrame:
+    """column, value (as a number), text, n: how often each value of each column occurs.
+
+    Every row turns into one narrow entry per column and entries combine in the map
+    tasks; wide rows are never repeated. Numbers that stay apart as doubles have no text.
+    A null has neither. Written once; everything else in an exact profile reads this.
+    """
+    entries = []
+    for field in data.schema.fields:
+        is_number = isinstance(field.dataType, T.NumericType)
+        alone = isinstance(field.dataType, EXACT_AS_DOUBLE)
+        number = F.col(field.name).cast("double") if is_number else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if alone else F.col(field.name).cast("string")
+        entries.append(
+            F.struct(F.lit(field.name).alias("column"), number.alias("value"), text.alias("text"))
+        )
+    long = data.select(_long(entries)).groupBy("column", "value", "text")
+    return save_dataset(
+        long.agg(F.count(F.lit(1)).alias("n")), scratch_path(data.sparkSession, "cell-counts")
     )
 
 
 def profile_columns(data: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: count, nulls, distinct, range, and moments for numbers.
 
-    One aggregation over all columns, turned to long form afterwards. Exact
-    quartiles count every distinct number anyway, so numeric columns take their
-    distinct count from there; only the others need a distinct aggregate, for
-    which Spark repeats each row once per such column. ``approximate`` uses
-    sketches for both.
+    Exact by default, from the counts of all values. ``approximate`` keeps no values: it
+    merges sketches of a fixed size (``lagline.operators.sketches``).
     """
+    if approximate:
+        return profile_from_sketches(column_sketches(data))
+    cells = cell_counts(data)
+    present = F.col("value").isNotNull() | F.col("text").isNotNull()
     numeric = numeric_columns(data)
-    counted = [
-        name
-        for name in numeric
-        if not approximate and isinstance(data.schema[name].dataType, EXACT_AS_DOUBLE)
-    ]
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    aggregates = []
-    for i, name in enumerate(data.columns):
-        column = F.col(name)
-        aggregates += [
-            F.count(column).alias(f"{i}_count"),
-            F.coalesce(F.sum(column.isNull().cast("bigint")), F.lit(0)).alias(f"{i}_nulls"),
-            (F.lit(None).cast("bigint") if name in counted else distinct(column)).alias(
-                f"{i}_distinct"
-            ),
-        ]
-        if name in numeric:
-            number = column.cast("double")
-            aggregates += [
-                F.min(number).alias(f"{i}_min"),
-                F.max(number).alias(f"{i}_max"),
-                F.avg(number).alias(f"{i}_mean"),
-                F.stddev_samp(number).alias(f"{i}_std"),
-            ]
-            if approximate:
-                aggregates.append(
-                    F.percentile_approx(number, list(QUARTILES.values()), 10_000).alias(f"{i}_sketch")
-                )
-        else:
-            aggregates += [
-                F.min(column.cast("string")).alias(f"{i}_min"),
-                F.max(column.cast("string")).alias(f"{i}_max"),
-            ]
-
-    def entry(i: int, name: str) -> Column:
-        is_number = name in numeric
-        nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-        fields = {
-            "column_name": F.lit(name),
-            "value_count": F.col(f"{i}_count"),
-            "null_count": F.col(f"{i}_nulls"),
-            "distinct_count": F.col(f"{i}_distinct"),
-            "min_text": no_text if is_number else F.col(f"{i}_min"),
-            "max_text": no_text if is_number else F.col(f"{i}_max"),
-            "min_value": F.col(f"{i}_min") if is_number else nothing,
-            "max_value": F.col(f"{i}_max") if is_number else nothing,
-            "mean": F.col(f"{i}_mean") if is_number else nothing,
-            "std": F.col(f"{i}_std") if is_number else nothing,
-        }
-        if approximate:
-            for position, quartile in enumerate(QUARTILES):
-                fields[quartile] = F.col(f"{i}_sketch")[position] if is_number else nothing
-        return F.struct(*[value.alias(field) for field, value in fields.items()])
-
-    long = data.agg(*aggregates).select(
-        _long([entry(i, name) for i, name in enumerate(data.columns)])
+    summary = cells.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("value_count"),
+        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count(F.when(present, 1)).alias("distinct_count"),
+        F.min("text").alias("min_text"),
+        F.max("text").alias("max_text"),
     )
-    if approximate:
-        return long
-    if not numeric:
-        return long.withColumns({name: F.lit(None).cast("double") for name in QUARTILES})
-    # One row per numeric column on the right, so the broadcast is bounded by the schema.
-    quartiles = exact_quantiles(data, numeric, QUARTILES).withColumnRenamed("column", "column_name")
-    from_values = F.when(
-        F.col("column_name").isin(counted), F.coalesce(F.col("values"), F.lit(0))
-    ).otherwise(F.col("distinct_count"))
-    return (
-        long.join(F.broadcast(quartiles), "column_name", "left")
-        .withColumn("distinct_count", from_values)
-        .drop("values")
+    names = data.sparkSession.createDataFrame(
+        [(name, name in numeric) for name in data.columns], "column string, is_number boolean"
+    )
+    rows = names.join(summary, "column", "left").fillna(
+        0, ["value_count", "null_count", "distinct_count"]
+    )
+    empty = F.lit(None).cast("double")
+    if numeric:
+        numbers = cells.filter(F.col("value").isNotNull()).select("column", "value", "n")
+        if any(not isinstance(data.schema[name].dataType, EXACT_AS_DOUBLE) for name in numeric):
+            # Two texts may be the same double.
+            numbers = save_dataset(
+                numbers.groupBy("column", "value").agg(F.sum("n").alias("n")),
+                scratch_path(data.sparkSession, "value-counts"),
+            )
+        figures = _moments(numbers).join(quantiles_of(numbers, QUARTILES), "column", "left")
+        # One row per numeric column, so the broadcast is bounded by the schema.
+        rows = rows.join(F.broadcast(figures), "column", "left")
+    else:
+        rows = rows.withColumns({n: empty for n in ("min", "max", "mean", "std", *QUARTILES)})
+    no_text = F.lit(None).cast("string")
+    return rows.select(
+        F.col("column").alias("column_name"),
+        "value_count",
+        "null_count",
+        "distinct_count",
+        F.when(~F.col("is_number"), F.col("min_text")).otherwise(no_text).alias("min_text"),
+        F.when(~F.col("is_number"), F.col("max_text")).otherwise(no_text).alias("max_text"),
+        F.col("min").alias("min_value"),
+        F.col("max").alias("max_value"),
+        "mean",
+        "std",
+        *QUARTILES,
     )
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("column_name", "value"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 def top_values(data: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """The k most frequent values of each column; smaller text first among equals.
 
-    Spark applies the rank limit to each task's share before the shuffle, so a
-    column with very many values sends k rows per task to the final ranking.
+    Values are not grouped as such at first, but counted by hash bucket: a sketch of
+    ``BUCKETS`` counts per column, whatever the number of values, in which no value
+    counts less than it occurs. The values of the fullest buckets are counted exactly;
+    the k-th count among them is a bound that any other value of the top k must reach, and
+    so must its bucket. Only values of such buckets are counted in the end, so where a few
+    values stand out, the shuffle carries their buckets and not the column.
     """
     entries = [
         F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value"))
         for name in columns
     ]
-    counts = (
-        data.select(_long(entries))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
+    # Written once: three passes follow.
+    values = save_dataset(
+        data.select(_long(entries)).filter(F.col("value").isNotNull()),
+        scratch_path(data.sparkSession, "top-values"),
+    )
+    sketch = save_dataset(
+        values.groupBy("column_name", _bucket()).agg(F.count(F.lit(1)).alias("size")),
+        scratch_path(data.sparkSession, "top-buckets"),
+    )
+    fullest = Window.partitionBy("column_name").orderBy(F.desc("size"), "bucket")
+    first = sketch.withColumn("place", F.row_number().over(fullest)).filter(F.col("place") <= GUESS * k)
+
+    def counted(buckets: DataFrame) -> DataFrame:
+        """Exact counts of the values that fall into the given buckets."""
+        # BUCKETS rows per column at most.
+        kept = values.withColumn("bucket", _bucket()).join(
+            F.broadcast(buckets.select("column_name", "bucket")), ["column_name", "bucket"], "left_semi"
+        )
+        return kept.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+
+    by_count = Window.partitionBy("column_name").orderBy(F.desc("occurrences"), F.asc("value"))
+    position = F.row_number().over(by_count)
+    bounds = (
+        counted(first).withColumn("position", position).filter(F.col("position") == k)
+        .select("column_name", F.col("occurrences").alias("least"))
+    )
+    reached = sketch.join(F.broadcast(bounds), "column_name", "left").filter(
+        F.col("size") >= F.coalesce("least", F.lit(1))
     )
-    order = Window.partitionBy("column_name").orderBy(F.desc("occurrences"), F.asc("value"))
-    return counts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    return counted(reached).withColumn("position", position).filter(F.col("position") <= k)
 
 
 def histogram(data: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:

@@ -36,6 +36,7 @@ from lagline.operators import (
     scoring,
     selection,
     sets,
+    sketches,
 )
 from lagline.operators.boosting import BoostingParams
 from lagline.operators.candidates import DEFAULT_CANDIDATES, logistic_candidate, settings_of
@@ -596,14 +597,39 @@ def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders table with ids, status and times, and the numbers made from it."""
-    orders = adapter.orders(spark, sf_dir).persist()
-    tables = (orders, _profiled(spark, sf_dir))
+    tables = (adapter.orders(spark, sf_dir), _profiled(spark, sf_dir))
     return _rounded(
         sets.union_all([profile.profile_columns(table) for table in tables]),
         ["mean", "std", *profile.QUARTILES],
     )
 
 
+@query
+def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile out of stored daily sketches, and whether its estimates keep their error."""
+    columns = ["order_id", "order_status", "total_price", "promised_days"]
+    days = mart_ops.create_features(_labelled_items(spark, sf_dir)).select(
+        F.to_date("order_purchase_timestamp").alias("day"), *columns
+    )
+    days = files.save_dataset(_money(days), scratch_path(spark, "days"))
+    stored = files.save_dataset(
+        sketches.column_sketches(days, ["day"]), scratch_path(spark, "day-sketches")
+    )
+    found = sketches.profile_from_sketches(stored)
+    exact = profile.profile_columns(days.drop("day")).select(
+        "column_name", F.col("distinct_count").alias("distinct"), F.col("q1").alias("low"), F.col("q3").alias("high")
+    )
+    close = F.abs(F.col("distinct_count") - F.col("distinct")) <= 0.08 * F.col("distinct")
+    between = F.coalesce(F.col("median").between(F.col("low"), F.col("high")), F.lit(True))
+    return _rounded(
+        found.join(exact, "column_name").select(
+            "column_name", "value_count", "null_count", "min_text", "max_text", "min_value", "max_value",
+            "mean", close.alias("distinct_close"), between.alias("median_between"),
+        ),
+        ["mean", "min_value", "max_value"], 4,
+    )
+
+
 @query
 def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _labelled_customers(spark, sf_dir)

@@ -497,6 +497,24 @@ _add(
         + [_column_profile(n) for n in PROFILED]
     ),
 )
+def _sketch_profile(name: str, is_number: bool) -> str:
+    number = f"CAST({name} AS DOUBLE)" if is_number else "NULL::DOUBLE"
+    text = "NULL::VARCHAR" if is_number else name
+    return (
+        f"SELECT '{name}' AS column_name, count({name}) AS value_count, "
+        f"count(*) FILTER ({name} IS NULL) AS null_count, min({text}) AS min_text, max({text}) AS max_text, "
+        f"round(min({number}), 4) AS min_value, round(max({number}), 4) AS max_value, "
+        f"round(avg({number}), 4) AS mean, true AS distinct_close, true AS median_between FROM features"
+    )
+
+
+_add(
+    "profile_sketches",
+    " UNION ALL ".join(
+        _sketch_profile(name, name != "order_status")
+        for name in ("order_id", "order_status", "total_price", "promised_days")
+    ),
+)
 _add(
     "profile_top_values",
     """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY column_name

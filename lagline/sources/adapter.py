@@ -55,29 +55,23 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
     )
-    # Distinct (order, day) pairs first: an order then has at most one row per
-    # calendar day, however many lines it has, so the join below has no hot key.
+    # One row per order: its distinct ship days, of which there are as many as the
+    # calendar has. They combine in the map tasks, so neither an order with very many
+    # lines nor the join below has a hot key.
     days_shipped = (
         _scan(spark, sf_dir, "lineitem")
-        .select(F.col("l_orderkey").alias("order_id"), "l_shipdate")
-        .distinct()
+        .groupBy(F.col("l_orderkey").alias("order_id"))
+        .agg(F.collect_set("l_shipdate").alias("days"))
     )
-    # The base columns pass through the group, so orders are read once and the
-    # group reuses the join's partitioning.
-    shipped = F.when(F.col("l_shipdate") >= F.col("order_purchase_timestamp"), F.col("l_shipdate"))
-    return (
-        base.join(days_shipped, "order_id", "left")
-        .groupBy(*base.columns)
-        .agg(F.min(shipped).alias("order_delivered_customer_date"))
-        .select(
-            "order_id",
-            "customer_id",
-            "order_status",
-            "order_purchase_timestamp",
-            "order_approved_at",
-            "order_delivered_customer_date",
-            "order_estimated_delivery_date",
-        )
+    after_purchase = F.filter("days", lambda day: day >= F.col("order_purchase_timestamp"))
+    return base.join(days_shipped, "order_id", "left").select(
+        "order_id",
+        "customer_id",
+        "order_status",
+        "order_purchase_timestamp",
+        "order_approved_at",
+        F.array_min(after_purchase).alias("order_delivered_customer_date"),
+        "order_estimated_delivery_date",
     )
 
 
