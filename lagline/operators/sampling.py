@@ -21,6 +21,8 @@ from lagline.sources.files import save_dataset
 
 SPLIT_STEPS = 10_000
 ROWS_PER_SLOT = 50_000
+# Samples up to this size are found by merging bottom-k sets.
+BOTTOM_K = 20_000
 
 
 def in_train(
@@ -136,29 +138,52 @@ def sample_cut(
 ) -> SampleCut:
     """Find where an exact sample of the given size ends, class by class.
 
-    Ranking every row of a class would put the class in one task. Instead the
-    rows are counted per (class, leading hash bits); the running count of those
-    at most 2^bits numbers per class shows the one slot in which the quota is
-    reached, and only that slot's rows, 1/2^bits of the class, are ranked. ``bits``
-    follows the row count, so a slot stays small. ``key`` must be unique.
+    The data are read once, for (class, key, hash), which are written; what follows
+    reads that narrow table. ``key`` must be unique.
+
+    A sample of at most ``BOTTOM_K`` rows keeps the rows of the smallest hashes, that many
+    per class: bottom-k sets merge, so the rank limit works in the map tasks and each
+    sends a set of bounded size. Quotas are applied afterwards.
+
+    A larger sample would put a class in one task. There the rows are counted per
+    (class, leading hash bits); the running count of those at most 2^bits numbers per
+    class shows the one slot in which the quota is reached, and only that slot's rows,
+    1/2^bits of the class, are ranked. ``bits`` follows the row count, so a slot stays small.
     """
     if (size is None) == (fraction is None):
         raise ValueError("give either size or fraction")
     salt = f"sample:{seed}"
-    if bits is None:
-        bits = min(HASH_BITS, max(16, (data.count() // ROWS_PER_SLOT).bit_length()))
-    slot = F.shiftright(key_hash(key, salt), HASH_BITS - bits)
-    rows = data.select(
-        (F.col(label) if label else F.lit(0)).alias("cut_class"),
-        F.col(key).alias("cut_key"),
-        key_hash(key, salt).alias("cut_hash"),
-        slot.cast("bigint").alias("slot"),
+    spark = data.sparkSession
+    rows = save_dataset(
+        data.select(
+            (F.col(label) if label else F.lit(0)).alias("cut_class"),
+            F.col(key).alias("cut_key"),
+            key_hash(key, salt).alias("cut_hash"),
+        ),
+        scratch_path(spark, "sample-keys"),
     )
+    totals = rows.groupBy("cut_class").agg(F.count(F.lit(1)).alias("n"))
+    wanted = class_quotas(totals, size, fraction).filter(F.col("quota") > 0)
+    by_hash = Window.partitionBy("cut_class").orderBy("cut_hash", "cut_key")
+    if size is not None and size <= BOTTOM_K and bits is None:
+        smallest = rows.withColumn("position", F.row_number().over(by_hash)).filter(
+            F.col("position") <= size
+        )
+        # One row per class on the right.
+        last = (
+            smallest.alias("r")
+            .join(wanted.alias("w"), F.col("r.cut_class").eqNullSafe(F.col("w.cut_class")))
+            .filter(F.col("position") == F.col("quota"))
+            .select("r.cut_class", "cut_hash", "cut_key")
+        )
+        return SampleCut(save_dataset(last, scratch_path(spark, "sample-cuts")), key, label, salt)
+    if bits is None:
+        bits = min(HASH_BITS, max(16, (rows.count() // ROWS_PER_SLOT).bit_length()))
+    slot = F.shiftright("cut_hash", HASH_BITS - bits).cast("bigint")
+    rows = rows.withColumn("slot", slot)
     slots = rows.groupBy("cut_class", "slot").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("cut_class").orderBy("slot")
     filled = slots.withColumn("upto", F.sum("n").over(running))
-    totals = slots.groupBy("cut_class").agg(F.sum("n").alias("n"))
-    wanted = class_quotas(totals, size, fraction).filter(F.col("quota") > 0)
     reached = (
         filled.alias("f")
         .join(wanted.alias("w"), F.col("f.cut_class").eqNullSafe(F.col("w.cut_class")))
@@ -170,20 +195,18 @@ def sample_cut(
             (F.col("quota") - (F.col("upto") - F.col("f.n"))).alias("missing"),
         )
     )
-    ranking = Window.partitionBy("cut_class").orderBy("cut_hash", "cut_key")
     last = (
         rows.join(
             reached,
             F.col("cut_class").eqNullSafe(F.col("reached_class"))
             & (F.col("slot") == F.col("reached_slot")),
         )
-        .withColumn("position", F.row_number().over(ranking))
+        .withColumn("position", F.row_number().over(by_hash))
         .filter(F.col("position") == F.col("missing"))
         .select("cut_class", "cut_hash", "cut_key")
     )
     # One row per class, written once for the uses that follow.
-    cuts = save_dataset(last, scratch_path(data.sparkSession, "sample-cuts"))
-    return SampleCut(cuts, key, label, salt)
+    return SampleCut(save_dataset(last, scratch_path(spark, "sample-cuts")), key, label, salt)
 
 
 def stratified_parts(

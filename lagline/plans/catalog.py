@@ -26,6 +26,7 @@ from lagline.operators import (
     attribution,
     boosting,
     encoding,
+    increments,
     joins,
     metrics,
     orders as mart_ops,
@@ -294,6 +295,31 @@ def order_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BUCKETS = 16
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and items stored by order, made once."""
+
+    def build() -> tuple[str, str]:
+        names = []
+        for kind, data in (("orders", adapter.orders(spark, sf_dir)), ("items", adapter.items(spark, sf_dir))):
+            path = scratch_path(spark, f"bucketed-{kind}")
+            names.append("bucketed_" + path.rsplit("-", 1)[-1])
+            files.save_bucketed(data, path, "order_id", BUCKETS, names[-1])
+        return tuple(names)
+
+    orders, items = _shared(spark, sf_dir, "bucketed", build)
+    return spark.table(orders), spark.table(items)
+
+
+@query
+def order_dataset_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data set from tables stored by order: roll-up and item join move no rows."""
+    orders, items = _bucketed(spark, sf_dir)
+    return _money(mart_ops.create_dataset(orders, items, adapter.customers(spark, sf_dir)))
+
+
 @query
 def join_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.cardinality_violations(
@@ -308,9 +334,11 @@ def join_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checked_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir).select("order_id", "customer_id", TARGET)
     rollup = mart_ops.aggregate_items(adapter.items(spark, sf_dir))
-    joined = joins.checked_join(labelled, rollup, "order_id", "left", "one_to_one")
+    joined = joins.checked_join(labelled, rollup, "order_id", "left", "one_to_one", early=False)
     customers = mart_ops.customer_columns(adapter.customers(spark, sf_dir))
-    return _money(joins.checked_join(joined, customers, "customer_id", "left", "many_to_one"))
+    return _money(
+        joins.checked_join(joined, customers, "customer_id", "left", "many_to_one", early=False)
+    )
 
 
 # Aggregations
@@ -1090,6 +1118,30 @@ def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def score_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold rows after three runs: half of the months, all of them, and once more."""
+    model, _, threshold = _stump_winner(spark, sf_dir)
+    store, folder = scratch_path(spark, "increment-store"), scratch_path(spark, "increments")
+    models.save_model(model, store)
+    models.save_metadata(spark, store, "stump", threshold)
+    data = _silver(spark, sf_dir).withColumn("month", F.col("purchase_month"))
+    scored = []
+    for rows in (data.filter("month <= 6"), data, data):
+        done = increments.score_increment(
+            spark, store, rows, f"{folder}/gold", f"{folder}/ledger", "month", "stump"
+        )
+        scored.append(done.count())
+    gold = increments.read_gold(spark, f"{folder}/gold")
+    return _rounded(
+        gold.select(
+            "order_id", "month", "probability_positive", "prediction",
+            *[F.lit(n).cast("int").alias(f"run_{i + 1}_parts") for i, n in enumerate(scored)],
+        ),
+        ["probability_positive"], 9,
+    )
+
+
 @query
 def score_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each scored order's label follows from its probability and the threshold."""

@@ -358,6 +358,8 @@ _add(
     "SELECT order_id, abs(probability_positive - 0.5::DOUBLE) AS distance FROM scored",
 )
 
+ORACLE_SQL["order_dataset_bucketed"] = ORACLE_SQL["order_dataset"]
+
 # Data quality and profile
 
 
@@ -950,6 +952,17 @@ _add(
       CAST(probability_positive >= cut AS INTEGER) AS prediction FROM tested""",
     _STUMPS,
 )
+_add(
+    "score_increments",
+    f"""SELECT order_id, purchase_month AS month,
+      round(1 / (1 + exp(-CASE WHEN {_LEFT} THEN left_margin ELSE right_margin END)), 9) AS probability_positive,
+      CAST(1 / (1 + exp(-CASE WHEN {_LEFT} THEN left_margin ELSE right_margin END)) >= cut AS INTEGER) AS prediction,
+      CAST((SELECT count(DISTINCT purchase_month) FROM features WHERE purchase_month <= 6) AS INTEGER) AS run_1_parts,
+      CAST((SELECT count(DISTINCT purchase_month) FROM features WHERE purchase_month > 6) AS INTEGER) AS run_2_parts,
+      CAST(0 AS INTEGER) AS run_3_parts
+    FROM features, chosen""",
+    _STUMPS,
+)
 _add(
     "shap_stump",
     f"""SELECT order_id, feature, round(CASE WHEN feature = column_name
