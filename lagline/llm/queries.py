@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,8 @@ from lagline.llm.common import stored, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-TOKENIZERS = "/opt/tokenizers"
-WORD_VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD_VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
+BYTE_VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 # Target weights of the mixture, by path from the domain down.
 MIXTURE = {
@@ -60,9 +60,7 @@ REVISIT_SECONDS = 86_430
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again; counts and digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, WORD_VOCABULARY).select("doc_id", "ids", "n_tokens")
-    decoded = bpe.decode(ids, WORD_VOCABULARY)
-    return decoded.select(
+    return bpe.round_trip(docs, WORD_VOCABULARY).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def small_docs(spark):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(name):
     tokenizers = pytest.importorskip("tokenizers")
-    path = f"{queries.TOKENIZERS}/{name}"
+    path = f"{public_tokenizers.path(name)}"
     library, own = tokenizers.Tokenizer.from_file(path), bpe.Encoder(bpe.read_definition(path))
     source = random.Random(5)
     samples = [r[1] or "" for r in odd_rows()]
