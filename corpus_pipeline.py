@@ -50,8 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with their number and the text they decode to."""
-    ids = bpe.encode(docs, WORD_VOCABULARY).drop("text")
-    return bpe.decode(ids, WORD_VOCABULARY)
+    return bpe.round_trip(docs, WORD_VOCABULARY)
 
 
 STAGES = [
@@ -62,7 +61,7 @@ STAGES = [
     ("encoding", encode_texts),
 ]
 
-# Consistent weighted sampling has no SQL form; tests hold run() against brute force.
+# Consistent weighted sampling has no SQL form; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
