@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import check_oracle
-from lagline.llm import conversation_trie, hard_negatives, langid, queries
+from lagline.llm import bpe, conversation_trie, hard_negatives, langid, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -337,3 +338,39 @@ def test_op13_descent_skips_leaves():
     leaves = hard_negatives.descend(tree, middle + slack, middle - slack, members, [best])
     assert [s for s, _ in best.found] == sorted(-scores)[:5]
     assert leaves < 0.5 * (tree.counts == 0).sum()
+
+
+# Byte pair encoding against the library
+
+
+def test_op1_query_against_the_library(spark):
+    """Counts and digests of every row of the query."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(queries.WORD_VOCABULARY)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    expected = []
+    for number, text in docs:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        packed = np.array(ids, dtype="<u4").tobytes()
+        expected.append((number, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted(map(tuple, queries.op1_bpe(spark, SMALL).collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("text", ["a࢛ͅ b", "Ᲊ ꟋX Ɤ", "a֮ࣟ̀x", "🇦é‍" * 50, "x" * 3_000 + "é" * 500])
+def test_op1_newer_unicode_and_long_words(text):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(queries.WORD_VOCABULARY)
+    own = bpe.Encoder(bpe.read_definition(queries.WORD_VOCABULARY))
+    ids = np.frombuffer(own.encode(text), dtype="<u4").tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert own.decode([own.encode(text)]) == [library.decode(ids, skip_special_tokens=False)]
+
+
+def test_op1_one_long_word_takes_little_memory():
+    own = bpe.Encoder(bpe.read_definition(queries.WORD_VOCABULARY))
+    tracemalloc.start()
+    own.encode_symbols("abcdefgh" * 25_000 + chr(ord("x") + bpe.FINAL))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 200_000
