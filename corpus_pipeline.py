@@ -61,7 +61,7 @@ STAGES = [
     ("encoding", encode_texts),
 ]
 
-# Consistent weighted sampling has no SQL form; tests hold run() against plain Python.
+# Consistent weighted sampling has no SQL form; tests hold single stages against plain Python.
 ORACLE_SQL = None
 
 
