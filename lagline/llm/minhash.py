@@ -52,6 +52,9 @@ BANDS = 12
 ROWS = 4
 SLOT_BITS = 18
 RARITY_BITS = 18
+# Bits of the broadcast id filter: so many an id, and no filter beyond 2 ** FILTER_BITS.
+FILTER_SHARE = 16
+FILTER_BITS = 27
 SEED = 42
 DRAW_BITS = 16
 # Odd multipliers of a 64-bit mixing step.
@@ -229,7 +232,7 @@ def weighted(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(texts: DataFrame, idf) -> DataFrame:
-    """(id, digest, bands) of every row of (id, text) that has words."""
+    """(id, digest, mark, bands) of every row of (id, text, mark) that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,18 +250,48 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 bands.append(key.astype(np.int64))
             flat = np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)
+            rows = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(kept, pa.int64())),
+                    batch.column(0).take(rows),
                     pa.array(digests, pa.binary()),
+                    batch.column(2).take(rows),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat)
                     ),
                 ],
-                names=["id", "digest", "bands"],
+                names=["id", "digest", "mark", "bands"],
             )
 
-    return texts.mapInArrow(run, "id bigint, digest binary, bands array<bigint>")
+    return texts.mapInArrow(run, "id bigint, digest binary, mark bigint, bands array<bigint>")
+
+
+def possible(texts: DataFrame, wanted: DataFrame, limit: int = FILTER_BITS) -> DataFrame:
+    """Rows of (id, text, mark) without most of those whose id is not in ``wanted`` (id).
+
+    A bit map over id hashes, ``FILTER_SHARE`` bits an id, is broadcast, so that a join by
+    id does not have to move every text. It loses no wanted row. Beyond ``2 ** limit`` bits
+    the rows come back as they are: what is broadcast stays below that size, and the join
+    that follows moves the texts instead.
+    """
+    width = max(wanted.count() * FILTER_SHARE, 1 << 15).bit_length()
+    if width > limit:
+        return texts
+    slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - width)
+    maps = (
+        wanted.select(slot.alias("slot"))
+        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    )
+    at = F.bitmap_bit_position("slot").cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        texts.withColumn("slot", slot)
+        .withColumn("bucket", F.bitmap_bucket_number("slot"))
+        .join(F.broadcast(maps), "bucket")
+        .filter(F.getbit(byte, F.pmod(at, F.lit(8))) == 1)
+        .select(*texts.columns)
+    )
 
 
 def packed_sets(texts: DataFrame, idf) -> DataFrame:
@@ -375,14 +408,16 @@ def near_classes(
     texts = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")
     )
-    known = texts.filter("id is not null")
+    # The mark tells the row that speaks for a repeated id from the others.
+    known = texts.filter("id is not null").withColumn("mark", F.xxhash64("text"))
     frequencies = document_frequencies(known)
     documents = known.count()
     idf = spark.sparkContext.broadcast(damped_idf(frequencies, documents))
     signed = stored(
-        signatures(known, idf).groupBy("id").agg(F.min(F.struct("digest", "bands")).alias("s")).select(
-            "id", "s.digest", "s.bands"
-        ),
+        signatures(known, idf)
+        .groupBy("id")
+        .agg(F.min(F.struct("digest", "mark", "bands")).alias("s"))
+        .select("id", "s.digest", "s.mark", "s.bands"),
         "minhash-signatures",
     )
     # Texts with the same words: the smallest id stands for all.
@@ -394,10 +429,14 @@ def near_classes(
     )
     star, shared = _representatives(members)
     pairs = stored(star, "minhash-pairs")
+    wanted = stored(
+        signed.select("id", "mark").join(shared.select("id").distinct(), "id", "left_semi"),
+        "minhash-wanted",
+    )
+    # An inner join: a semi join would be pushed below the filter and move every text.
+    chosen = possible(known, wanted).join(wanted, ["id", "mark"])
     sets = stored(
-        packed_sets(
-            known.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), idf
-        ),
+        packed_sets(chosen.dropDuplicates(["id", "mark"]).select("id", "text"), idf),
         "minhash-sets",
     )
     links = stored(verified(pairs, sets, threshold), "minhash-links")

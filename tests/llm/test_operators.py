@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -518,6 +519,46 @@ def test_op8_near_copies_of_a_text_in_a_third_of_the_rows(spark):
     assert all(found[i] == i for i in range(102, len(texts)))
 
 
+def test_op8_repeated_ids_have_one_text(spark):
+    """Of the texts of an id the one with the smallest word digest speaks, wherever its rows lie."""
+    base = [prose(300 + i, 120) for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(i, prose(900 + i, 80)) for i in range(20)]
+    rows += [(100 + i, near_copy(t, i, 1)) for i, t in enumerate(base)]
+    speaks = {}
+    for i, text in rows:
+        digest = xxhash.xxh3_128_digest(b" ".join(minhash.split_words(text)))
+        speaks[i] = min(speaks.get(i, (digest, text)), (digest, text))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = minhash.damped_idf(minhash.document_frequencies(frame), len(rows))
+    expected = brute_classes({i: text for i, (_, text) in speaks.items()}, idf)
+    assert 0 < sum(expected[100 + i] == i for i in range(20)) < 20
+    for parts in (1, 3, 8):
+        for order in ("doc_id", "text"):
+            found = minhash.near_classes(frame.repartitionByRange(parts, order)).collect()
+            assert len(found) == len(rows)
+            assert {r["doc_id"]: r["class_id"] for r in found} == expected
+
+
+def test_op8_id_filter_loses_no_wanted_row(spark):
+    texts = spark.range(-40_000, 40_000).selectExpr("id", "concat('t', id) AS text", "id AS mark")
+    wanted = texts.select("id").filter("pmod(id, 37) = 5")
+    expected = {r["id"] for r in wanted.collect()}
+    passed = {r["id"] for r in minhash.possible(texts, wanted).collect()}
+    # One in sixteen slots is taken at most.
+    assert expected <= passed and len(passed) < len(expected) + 80_000 / 12
+    marked = wanted.withColumn("mark", F.col("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = minhash.possible(texts, wanted).join(marked, ["id", "mark"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Texts meet the broadcast bit map before the exchange of the join by id.
+    assert plan.index("SortMergeJoin") < plan.index("hashpartitioning(id") < plan.index("BroadcastHashJoin")
+    assert minhash.possible(texts, wanted, limit=10).count() == 80_000
+    assert minhash.possible(texts, wanted.limit(0)).count() == 0
+
+
 def test_op8_odd_rows(odd, empty):
     rows = minhash.near_classes(odd).collect()
     assert len(rows) == len(odd_rows())
