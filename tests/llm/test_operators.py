@@ -291,6 +291,29 @@ def test_op5_against_brute_force(odd, empty, small_docs):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("copy_ids", [1 << 20, 0])
+def test_op5_copies_lose_everything(spark, monkeypatch, copy_ids):
+    monkeypatch.setattr(suffix_dedup, "COPY_IDS", copy_ids)
+    long, other, short = prose(1, 60), prose(2, 60), prose(3, 4)[:49]
+    rows = [(doc, long) for doc in (9, 5, 7, 5, None, -(1 << 63))] + [
+        # A repeated id with a copy and a text of its own, both searched.
+        (20, long), (20, other), (30, other), (31, other[:200] + long[:200]),
+        # Copies shorter than a window, empty and null texts lose nothing.
+        (40, short), (41, short), (42, ""), (43, ""), (44, None), (None, other), (50, prose(4, 60)),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix_dedup.remove_repeats(frame).drop("kept").collect()
+    assert Counter(tuple(r) for r in found) == brute_repeats(rows)
+    copies = {r["id"] for r in suffix_dedup.copied_ids(frame).collect()}
+    assert copies == {5, 7, 9, 30}
+
+
+def test_op5_marks_survive_the_way(tmp_path):
+    numbers = np.sort(np.random.default_rng(1).integers(0, 1 << 28, 5000, dtype=np.uint32))
+    for part in (numbers, numbers[:1], np.repeat(numbers[-3:], 2)):
+        assert (suffix_dedup._from_planes(suffix_dedup._as_planes(part)) == part).all()
+
+
 def shard_files(folder, blocks: list[bytes], places: list[list[tuple[int, int]]]) -> None:
     """One shard's files as a task of ``repeated_windows`` lays them down."""
     flat = [p for own in places for p in own]
