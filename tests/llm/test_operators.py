@@ -296,8 +296,7 @@ def test_op5_copies_lose_everything(spark, monkeypatch, copy_ids):
     monkeypatch.setattr(suffix_dedup, "COPY_IDS", copy_ids)
     long, other, short = prose(1, 60), prose(2, 60), prose(3, 4)[:49]
     rows = [(doc, long) for doc in (9, 5, 7, 5, None, -(1 << 63))] + [
-        # A repeated id with a copy and a text of its own, both searched.
-        (20, long), (20, other), (30, other), (31, other[:200] + long[:200]),
+        (20, long), (20, long), (25, other), (30, other), (31, other[:200] + long[:200]),
         # Copies shorter than a window, empty and null texts lose nothing.
         (40, short), (41, short), (42, ""), (43, ""), (44, None), (None, other), (50, prose(4, 60)),
     ]
@@ -305,7 +304,10 @@ def test_op5_copies_lose_everything(spark, monkeypatch, copy_ids):
     found = suffix_dedup.remove_repeats(frame).drop("kept").collect()
     assert Counter(tuple(r) for r in found) == brute_repeats(rows)
     copies = {r["id"] for r in suffix_dedup.copied_ids(frame).collect()}
-    assert copies == {5, 7, 9, 30}
+    assert copies == {5, 7, 9, 20, 30}
+    # An id that also has a text of its own is no copy.
+    mixed = frame.union(spark.createDataFrame([(20, other + long)], frame.schema))
+    assert {r["id"] for r in suffix_dedup.copied_ids(mixed).collect()} == {5, 7, 9, 30}
 
 
 def test_op5_marks_survive_the_way(tmp_path):
