@@ -86,8 +86,18 @@ def move_queried(
 
 
 def fit_labelled(labelled: DataFrame, columns: list[str], label: str = TARGET) -> PipelineModel:
-    """Scale and fit on the labelled rows only."""
-    return logistic_candidate(columns, labelled.count(), label).fit(labelled)
+    """Scale and fit on the labelled rows only.
+
+    They are picked out of a large table and the fit reads them several times, so they are
+    kept meanwhile, unless the caller keeps them already.
+    """
+    kept = labelled.storageLevel.useMemory or labelled.storageLevel.useDisk
+    rows = labelled if kept else labelled.persist()
+    try:
+        return logistic_candidate(columns, rows.count(), label).fit(rows)
+    finally:
+        if not kept:
+            rows.unpersist()
 
 
 @dataclass(frozen=True)
