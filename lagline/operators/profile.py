@@ -18,6 +18,8 @@ BUCKETS = 65_536
 GUESS = 4
 # Types whose values stay apart when read as doubles.
 EXACT_AS_DOUBLE = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
+# Types that are counted as they are: narrower than their text, and no two values share one.
+EXACT_AS_SELF = (T.LongType, T.DecimalType, T.DateType, T.TimestampNTZType)
 
 
 def numeric_columns(data: DataFrame) -> list[str]:
@@ -88,21 +90,68 @@ def cell_counts(data: DataFrame) -> DataFrame:
     """column, value (as a number), text, n: how often each value of each column occurs.
 
     Every row turns into one narrow entry per column and entries combine in the map
-    tasks; wide rows are never repeated. Numbers that stay apart as doubles have no text.
-    A null has neither. Written once; everything else in an exact profile reads this.
+    tasks; wide rows are never repeated. An entry carries the number of its column and the
+    value in its own type; names and texts are made from what is left after counting.
+    Numbers have no text, so two that are the same double are two rows. A null has neither.
+    Written once; everything else in an exact profile reads this.
     """
-    entries = []
-    for field in data.schema.fields:
-        is_number = isinstance(field.dataType, T.NumericType)
-        alone = isinstance(field.dataType, EXACT_AS_DOUBLE)
-        number = F.col(field.name).cast("double") if is_number else F.lit(None).cast("double")
-        text = F.lit(None).cast("string") if alone else F.col(field.name).cast("string")
-        entries.append(
-            F.struct(F.lit(field.name).alias("column"), number.alias("value"), text.alias("text"))
+    fields = data.schema.fields
+    kinds, homes = {"number": "double", "text": "string"}, []
+    for field in fields:
+        home = "number" if isinstance(field.dataType, EXACT_AS_DOUBLE) else "text"
+        if isinstance(field.dataType, EXACT_AS_SELF):
+            home = field.dataType.simpleString()
+            kinds[home] = home
+        homes.append(home)
+    entries = [
+        F.struct(
+            F.lit(i).alias("position"),
+            *[
+                (F.col(field.name) if kind == home else F.lit(None)).cast(of).alias(kind)
+                for kind, of in kinds.items()
+            ],
         )
-    long = data.select(_long(entries)).groupBy("column", "value", "text")
+        for i, (field, home) in enumerate(zip(fields, homes))
+    ]
+    counts = data.select(_long(entries)).groupBy("position", *[F.col(f"`{kind}`") for kind in kinds])
+    numbers = {"number", *[h for f, h in zip(fields, homes) if isinstance(f.dataType, T.NumericType)]}
+    names = F.array(*[F.lit(field.name) for field in fields])
+
+    def whichever(chosen: list[str], of: str) -> Column:
+        return F.coalesce(*[F.col(f"`{kind}`").cast(of) for kind in chosen])
+
     return save_dataset(
-        long.agg(F.count(F.lit(1)).alias("n")), scratch_path(data.sparkSession, "cell-counts")
+        counts.agg(F.count(F.lit(1)).alias("n")).select(
+            names[F.col("position")].alias("column"),
+            whichever([kind for kind in kinds if kind in numbers], "double").alias("value"),
+            whichever([kind for kind in kinds if kind not in numbers], "string").alias("text"),
+            "n",
+        ),
+        scratch_path(data.sparkSession, "cell-counts"),
+    )
+
+
+def _text_ranges(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """column, min_text and max_text of the named columns.
+
+    One aggregation without a key: grouped by column, texts would be sorted by it first.
+    """
+    own = [F.when(F.col("column") == name, F.col("text")) for name in columns]
+    wide = cells.filter(F.col("text").isNotNull()).agg(
+        *[F.min(text).alias(f"low_{i}") for i, text in enumerate(own)],
+        *[F.max(text).alias(f"high_{i}") for i, text in enumerate(own)],
+    )
+    return wide.select(
+        _long(
+            [
+                F.struct(
+                    F.lit(name).alias("column"),
+                    F.col(f"low_{i}").alias("min_text"),
+                    F.col(f"high_{i}").alias("max_text"),
+                )
+                for i, name in enumerate(columns)
+            ]
+        )
     )
 
 
@@ -121,37 +170,32 @@ def profile_columns(data: DataFrame, approximate: bool = False) -> DataFrame:
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("value_count"),
         F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("null_count"),
         F.count(F.when(present, 1)).alias("distinct_count"),
-        F.min("text").alias("min_text"),
-        F.max("text").alias("max_text"),
-    )
-    names = data.sparkSession.createDataFrame(
-        [(name, name in numeric) for name in data.columns], "column string, is_number boolean"
     )
+    names = data.sparkSession.createDataFrame([(name,) for name in data.columns], "column string")
     rows = names.join(summary, "column", "left").fillna(
         0, ["value_count", "null_count", "distinct_count"]
     )
-    empty = F.lit(None).cast("double")
+    worded = [name for name in data.columns if name not in numeric]
+    if worded:
+        # One row per column, so the broadcast is bounded by the schema.
+        rows = rows.join(F.broadcast(_text_ranges(cells, worded)), "column", "left")
+    else:
+        rows = rows.withColumns({n: F.lit(None).cast("string") for n in ("min_text", "max_text")})
     if numeric:
         numbers = cells.filter(F.col("value").isNotNull()).select("column", "value", "n")
-        if any(not isinstance(data.schema[name].dataType, EXACT_AS_DOUBLE) for name in numeric):
-            # Two texts may be the same double.
-            numbers = save_dataset(
-                numbers.groupBy("column", "value").agg(F.sum("n").alias("n")),
-                scratch_path(data.sparkSession, "value-counts"),
-            )
         figures = _moments(numbers).join(quantiles_of(numbers, QUARTILES), "column", "left")
         # One row per numeric column, so the broadcast is bounded by the schema.
         rows = rows.join(F.broadcast(figures), "column", "left")
     else:
+        empty = F.lit(None).cast("double")
         rows = rows.withColumns({n: empty for n in ("min", "max", "mean", "std", *QUARTILES)})
-    no_text = F.lit(None).cast("string")
     return rows.select(
         F.col("column").alias("column_name"),
         "value_count",
         "null_count",
         "distinct_count",
-        F.when(~F.col("is_number"), F.col("min_text")).otherwise(no_text).alias("min_text"),
-        F.when(~F.col("is_number"), F.col("max_text")).otherwise(no_text).alias("max_text"),
+        "min_text",
+        "max_text",
         F.col("min").alias("min_value"),
         F.col("max").alias("max_value"),
         "mean",
